@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import new_path, table
+from concord.llm.exactdedup import exact_groups
+from concord.llm.neardup import near_duplicates
 from concord.llm.packing import pack_sequences
 from concord.llm.tokenio import read_token_file, write_token_file
 
@@ -16,6 +18,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents")).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-file")
     write_token_file(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -24,6 +34,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op10_token_output": op10_token_output,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": """
+        select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
+               doc_id is not distinct from max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
+        from documents window g as (partition by coalesce(text, ''))""",
+}
