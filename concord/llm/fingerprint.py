@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import partitions, text_or_empty
 from concord.llm.shingles import shingle_sets
+from concord.shipping import ship
 
 K, WIDTH = 128, 5
 _SPACE = float(1 << 64)
@@ -67,6 +68,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fingerprint.  No shuffle.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -84,6 +87,8 @@ def merge_fingerprints(prints: DataFrame, key: str, column: str = "fingerprint",
     sketch per task, and no group is collected.
     """
 
+    ship(prints.sparkSession)
+
     def partial(batches):
         held: dict = {}
         for batch in batches:
@@ -185,6 +190,7 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     the driver holds is one number per range.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_FIRST)).alias("doc"), text_or_empty(text_col).alias("text"))
     n = partitions(spark)
     points = sorted({int(x) for x in docs.select(docs[id_col].cast("bigint").alias("doc")).approxQuantile("doc", [i / n for i in range(1, n)], 0.1 / n)})

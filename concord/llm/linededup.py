@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import SPACES, new_path, stash, text_or_empty
+from concord.shipping import ship
 
 #: Shortest key that counts, in code points.
 LEAST_CHARS = 10
@@ -108,6 +109,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a line that repeats inside the document that owns it stays; a table without rows gives none; other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     order = F.coalesce("doc_id", F.lit(_LAST))
     lines = stash(rows.select(order.alias("doc"), "text").mapInArrow(_hasher(least), "doc bigint, h binary"), "lines")

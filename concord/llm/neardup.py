@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from concord.llm.common import stash, text_or_empty
 from concord.llm.shingles import shingle_sets, signed
 from concord.operators.graph import connected_components
+from concord.shipping import ship
 
 #: Retained values of a sketch, and how many of them a similar pair shares at least.
 K, OVERLAP = 32, 11
@@ -86,6 +87,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     are kept.  Rows that repeat an id are one document whose texts belong
     together.  A table without rows gives none; other columns are ignored.
     """
+    ship(docs.sparkSession)
+
     def keep(df, label):
         return stash(df, f"near-{label}")
 
