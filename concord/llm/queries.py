@@ -6,15 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, linededup, mixing
+from concord.llm import chat, linededup, mixing, quality
 from concord.llm.common import new_path, table
 from concord.llm.exactdedup import exact_groups
 from concord.llm.fingerprint import fingerprint_with_edits
+from concord.llm.html import extract_text
 from concord.llm.neardup import near_duplicates
 from concord.llm.packing import pack_sequences
 from concord.llm.tokenio import read_token_file, write_token_file
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
@@ -33,6 +38,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -66,10 +75,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_fingerprint": op5_fingerprint,
+    "op6_html_extraction": op6_html_extraction,
     "op7_near_dedup": op7_near_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_mixing": op9_mixing,
