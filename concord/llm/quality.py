@@ -197,7 +197,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id
     """The rows of docs whose score reaches the threshold, with all their columns."""
     vectors = document_vectors(docs, id_col, text_col)
     model = fit(vectors, labels, label_col, id_col)
-    n = len(docs.columns)
+    names = docs.columns
+    n = len(names)
 
     def run(batches):
         for batch in batches:
@@ -205,6 +206,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id
                 some = batch.slice(at, 512)
                 x = np.asarray([statistics(t) for t in some.column(n).to_pylist()])
                 good = pa.array(model.scores(x) >= threshold)
-                yield pa.RecordBatch.from_arrays([c.filter(good) for c in some.columns[:n]], names=docs.columns)
+                yield pa.RecordBatch.from_arrays([c.filter(good) for c in some.columns[:n]], names=names)
 
     return docs.select("*", text_or_empty(text_col).alias("_text")).mapInArrow(run, docs.schema)
