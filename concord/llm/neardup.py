@@ -4,7 +4,7 @@
    class.  A class keeps the k smallest hashes of its set, its sketch.
 2. Inverted lists of retained values generate candidates.  A pair that is
    similar enough shares at least ``overlap`` retained values (all but about
-   3 in 1e9 such pairs at k = 32; all of them where the sketches hold the
+   1 in 1e9 such pairs at k = 64; all of them where the sketches hold the
    whole sets), so with the values of each sketch ordered from rare to common
    only a prefix of it has to be listed.  A common passage is at the end of the
    order and makes no list unless little else is in the text.
@@ -15,7 +15,8 @@
    linear number of comparisons.
 4. Before a comparison, the union of both sketches estimates the resemblance
    and drops pairs that can't reach the threshold.  What is left is decided on
-   the full sets.
+   the full sets.  Across components the union of wider sketches is used, and a
+   pair is looked at under the first value that both list.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from concord.operators.graph import connected_components
 from concord.shipping import ship
 
 #: Retained values of a sketch, and how many of them a similar pair shares at least.
-K, OVERLAP = 32, 11
+K, OVERLAP = 64, 32
+#: The same for the wider sketches that decide which pairs across components are verified.
+WIDE, WIDE_OVERLAP = 256, 164
 
 
 def _key(hashes: np.ndarray) -> bytes:
@@ -70,11 +73,11 @@ def _setter(width: int):
     return full
 
 
-def _estimate(a: str, b: str, k: int, overlap: int, percent: int):
-    """Whether the bottom-k sketch of the union allows the threshold: exact where it holds the whole union."""
+def _estimate(a: str, b: str, k: int, overlap: int, percent: int, slack: int = 0):
+    """Whether the bottom-k sketch of the union allows the threshold: exact, but for the slack, where it holds the whole union."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
     common = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), union))
-    return F.when(F.size(union) < k, 100 * common >= percent * F.size(union)).otherwise(common >= overlap)
+    return F.when(F.size(union) < k, 100 * (common + slack) >= percent * F.size(union)).otherwise(common >= overlap)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, overlap: int = OVERLAP) -> DataFrame:
@@ -98,47 +101,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = keep(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     # inverted lists of the rare prefix of each sketch
-    values = classes.select("key", "rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    values = classes.select("key", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = values.join(common, "v").groupBy("key").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    shared = values.join(common, "v").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    shared = shared.join(classes.select("key", "rep", "n", F.size("sketch").alias("s")), "key")
     needed = F.least(F.lit(overlap), F.ceil(F.col("s") * percent / 100)).cast("int")
     listed = (F.col("s") - needed + 1 - (F.col("s") - F.size("vs"))).cast("int")
-    postings = shared.withColumn("listed", listed).filter("listed > 0").select("key", "rep", "n", F.explode(F.slice("vs", F.lit(1), F.col("listed"))).alias("x")).select("key", "rep", "n", F.col("x.v").alias("v"))
-    postings = keep(postings, "postings")
+    shared = shared.withColumn("listed", listed).filter("listed > 0").withColumn("vs", F.transform(F.slice("vs", F.lit(1), F.col("listed")), lambda x: x["v"]))
+    shared = keep(shared.select("key", "rep", "n", "vs"), "shared")
+    postings = shared.select("key", "rep", "n", F.explode("vs").alias("v"))
     heads = postings.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct("rep", "key", "n")).alias("head")).filter("c > 1").select("v", "head")
-    stars = postings.join(heads, "v").filter("key <> head.key").filter(f"100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
+    postings = keep(postings.join(heads, "v"), "postings")
+    stars = postings.filter("key <> head.key").filter(f"100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
     stars = keep(stars.select(F.col("head.key").alias("ka"), F.col("head.rep").alias("ra"), F.col("key").alias("kb"), F.col("rep").alias("rb")).distinct(), "stars")
 
     # full sets of the classes that are in some list of several
-    wanted = keep(postings.join(heads, "v", "left_semi").select("key", "rep").distinct(), "wanted")
+    wanted = keep(postings.select("key", "rep").distinct(), "wanted")
     texts = rows.join(wanted.select("rep").distinct(), rows["doc_id"] == F.col("rep"), "left_semi").select("text")
     sets = texts.mapInArrow(_setter(width), "key binary, hashes array<bigint>").join(wanted.select("key"), "key", "left_semi")
     sets = keep(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
 
-    small = classes.select("key", "sketch")
-
-    def verified(pairs, estimated):
-        if not estimated:
-            pairs = pairs.join(small.toDF("kb", "sb"), "kb").join(small.toDF("ka", "sa"), "ka").filter(_estimate("sa", "sb", k, overlap, percent))
+    def verified(pairs):
         full = pairs.select("ka", "ra", "kb", "rb").join(sets.toDF("kb", "hb"), "kb").join(sets.toDF("ka", "ha"), "ka")
         both = F.size(F.array_intersect("ha", "hb"))
         either = F.size("ha") + F.size("hb") - F.col("i")
         return full.select("ra", "rb", both.alias("i"), "ha", "hb").filter(100 * F.col("i") >= percent * either).select("ra", "rb")
 
-    links = keep(verified(stars, False), "links")
+    small = classes.select("key", "sketch")
+    stars = stars.join(small.toDF("kb", "sb"), "kb").join(small.toDF("ka", "sa"), "ka").filter(_estimate("sa", "sb", k, overlap, percent))
+    links = keep(verified(stars), "links")
     found = connected_components(links, keep, "ra", "rb")
 
     # lists that still hold several components: all pairs across, the largest component's members only against the others
-    placed = postings.join(heads, "v", "left_semi").join(found, F.col("rep") == F.col("node"), "left").select("v", "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = postings.select("v", "key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("v", "key", F.coalesce("component", "rep").alias("comp"))
     placed = keep(placed, "placed")
     open_lists = placed.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("v", "main")
-    across = placed.join(open_lists, "v").join(small, "key")
-    across = keep(across, "across")
-    one = across.filter("comp <> main").select("v", F.col("key").alias("ka"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-    two = across.select("v", F.col("key").alias("kb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), (F.col("comp") == F.col("main")).alias("is_main"))
+    wide = sets.select("key", F.transform(F.slice("hashes", 1, WIDE), lambda h: F.shiftright(h, 32).cast("int")).alias("wide")).join(shared, "key")
+    across = placed.join(open_lists, "v").join(wide, "key")
+    one = across.filter("comp <> main").select("v", F.col("key").alias("ka"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("vs").alias("va"), F.col("wide").alias("wa"))
+    two = across.select("v", F.col("key").alias("kb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("vs").alias("vb"), F.col("wide").alias("wb"), (F.col("comp") == F.col("main")).alias("is_main"))
     near = (F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("ka") < F.col("kb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = one.join(two, (one["v"] == two["v"]) & near & _estimate("sa", "sb", k, overlap, percent)).select("ka", "ra", "kb", "rb").distinct()
-    more = keep(verified(pairs, True), "links")
+    # a pair is compared under one of the values that it shares
+    first = F.try_element_at(F.array_intersect("va", "vb"), F.lit(1)) == one["v"]
+    pairs = one.join(two, (one["v"] == two["v"]) & near & first & _estimate("wa", "wb", WIDE, WIDE_OVERLAP, percent, 2)).select("ka", "ra", "kb", "rb").distinct()
+    more = keep(verified(pairs), "links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), keep, "ra", "rb")
 
