@@ -22,6 +22,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,11 @@ from concord.operators.graph import connected_components
 from concord.shipping import ship
 
 #: Retained values of a sketch, and how many of them a similar pair shares at least.
-K, OVERLAP = 64, 32
+K, OVERLAP = 64, 30
 #: The same for the wider sketches that decide which pairs across components are verified.
-WIDE, WIDE_OVERLAP = 256, 164
+WIDE, WIDE_OVERLAP = 256, 163
+#: Longest list whose pairs are joined as they are; sizes of the chunks that longer ones are cut into.
+SMALL_LIST, CHUNK_MEMBERS, CHUNK_OTHERS = 32, 2000, 1000
 
 
 def _key(hashes: np.ndarray) -> bytes:
@@ -80,6 +83,79 @@ def _estimate(a: str, b: str, k: int, overlap: int, percent: int, slack: int = 0
     return F.when(F.size(union) < k, 100 * (common + slack) >= percent * F.size(union)).otherwise(common >= overlap)
 
 
+def _small_lists(across: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components under lists of a bounded length, by a join."""
+    one = across.filter("not is_main").select("v", F.col("key").alias("ka"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("vs").alias("va"), F.col("wide").alias("wa"))
+    two = across.select("v", F.col("key").alias("kb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("vs").alias("vb"), F.col("wide").alias("wb"), "is_main")
+    near = (F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("ka") < F.col("kb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # a pair is compared under one of the values that it shares
+    first = F.try_element_at(F.array_intersect("va", "vb"), F.lit(1)) == one["v"]
+    return one.join(two, (one["v"] == two["v"]) & near & first & _estimate("wa", "wb", WIDE, WIDE_OVERLAP, percent, 2)).select("ka", "ra", "kb", "rb")
+
+
+def _large_lists(across: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The same pairs under long lists: every chunk of members meets every chunk of those outside the main component."""
+    spread = [F.pmod(F.xxhash64("key"), "nm").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "no").cast("int")]
+    members = across.select("v", "key", "comp", "is_main", F.lit(0).alias("role"), spread[0].alias("m"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("o"))
+    others = across.filter("not is_main").select("v", "key", "comp", "is_main", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), spread[1].alias("o"))
+    rows = members.unionByName(others).join(wide, "key").select("v", "m", "o", "role", "key", "rep", "n", "comp", "is_main", "vs", "wide")
+    return rows.groupBy("v", "m", "o").applyInArrow(_chunk_pairs(percent), "ka binary, ra bigint, kb binary, rb bigint")
+
+
+def _inverted(lists: pa.ChunkedArray) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
+    """Each row's values, and for each value the rows that have it."""
+    flat = lists.combine_chunks()
+    values, offsets = flat.flatten().to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.argsort(values, kind="stable")
+    found, starts = np.unique(values[order], return_index=True)
+    split = np.split(rows[order], starts[1:]) if len(found) else []
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dict(zip(found.tolist(), split, strict=True))
+
+
+def _chunk_pairs(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        role = table["role"].to_numpy()
+        members, others = table.filter(pa.array(role == 0)), table.filter(pa.array(role == 1))
+        out: list[tuple] = []
+        if members.num_rows and others.num_rows:
+            v = members["v"][0].as_py()
+            _, listed = _inverted(members["vs"])
+            wides, held = _inverted(members["wide"])
+            own_lists, _ = _inverted(others["vs"])
+            own_wides, _ = _inverted(others["wide"])
+            n, comp = members["n"].to_numpy(), members["comp"].to_numpy()
+            main, keys, reps = members["is_main"].to_numpy(zero_copy_only=False), members["key"].to_pylist(), members["rep"].to_numpy()
+            order = np.empty(len(keys), dtype=np.int64)  # keys by rank, as bytes don't compare by whole arrays
+            ranks = sorted(range(len(keys)), key=keys.__getitem__)
+            order[ranks] = np.arange(len(keys))
+            ranked = [keys[i] for i in ranks]
+            width = np.array([len(w) for w in wides])
+            for i, (key, rep, size, own) in enumerate(zip(others["key"].to_pylist(), others["rep"].to_pylist(), others["n"].to_pylist(), others["comp"].to_pylist(), strict=True)):
+                open_ = (comp != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & (main | (order >= bisect_right(ranked, key)))
+                for x in own_lists[i].tolist():
+                    if x == v:
+                        break
+                    if x in listed:
+                        open_[listed[x]] = False
+                if not open_.any():
+                    continue
+                common = np.zeros(len(n), dtype=np.int64)
+                for x in own_wides[i].tolist():
+                    if x in held:
+                        common[held[x]] += 1
+                mine = len(own_wides[i])
+                whole = (width < WIDE) & (mine < WIDE)
+                near = np.where(whole, 100 * (common + 2) >= percent * (width + mine - common), common >= min(WIDE_OVERLAP, mine))
+                out += [(key, rep, keys[j], int(reps[j])) for j in np.flatnonzero(open_ & near).tolist()]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        types = [pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+        return pa.table([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["ka", "ra", "kb", "rb"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, overlap: int = OVERLAP) -> DataFrame:
     """For every row: (doc_id, n_shingles, component_id, kept).
 
@@ -135,15 +211,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # lists that still hold several components: all pairs across, the largest component's members only against the others
     placed = postings.select("v", "key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("v", "key", F.coalesce("component", "rep").alias("comp"))
     placed = keep(placed, "placed")
-    open_lists = placed.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("v", "main")
+    open_lists = placed.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
     wide = sets.select("key", F.transform(F.slice("hashes", 1, WIDE), lambda h: F.shiftright(h, 32).cast("int")).alias("wide")).join(shared, "key")
-    across = placed.join(open_lists, "v").join(wide, "key")
-    one = across.filter("comp <> main").select("v", F.col("key").alias("ka"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("vs").alias("va"), F.col("wide").alias("wa"))
-    two = across.select("v", F.col("key").alias("kb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("vs").alias("vb"), F.col("wide").alias("wb"), (F.col("comp") == F.col("main")).alias("is_main"))
-    near = (F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("ka") < F.col("kb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    # a pair is compared under one of the values that it shares
-    first = F.try_element_at(F.array_intersect("va", "vb"), F.lit(1)) == one["v"]
-    pairs = one.join(two, (one["v"] == two["v"]) & near & first & _estimate("wa", "wb", WIDE, WIDE_OVERLAP, percent, 2)).select("ka", "ra", "kb", "rb").distinct()
+    sizes = open_lists.select("v", "main", "c", (F.col("c") > SMALL_LIST).alias("large"), F.ceil(F.col("c") / CHUNK_MEMBERS).cast("int").alias("nm"), F.ceil(F.col("others") / CHUNK_OTHERS).cast("int").alias("no"))
+    across = placed.join(sizes, "v")
+    across = keep(across.select("v", "key", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "large", "nm", "no"), "across")
+    pairs = _small_lists(across.filter("not large").join(wide, "key"), percent).unionByName(_large_lists(across.filter("large"), wide, percent)).distinct()
     more = keep(verified(pairs), "links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), keep, "ra", "rb")
