@@ -158,7 +158,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = groups.join(classes, "digest").groupBy("digest").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     classes = stash(classes, "classes")
     members = digests.join(classes, "digest").select("doc_id", "digest", "n", "last")
-    same = _compare_bytes(rows, stash(members.filter("n > 1").select("doc_id", "digest"), "members"), digest)
+    same = _compare_bytes(rows, stash(members.filter("n > 1").select("doc_id").distinct(), "members"), digest)
     kept = F.col("doc_id").eqNullSafe(F.col("last"))
     if same is None:
         return members.select("doc_id", "digest", F.col("last").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"))
@@ -170,8 +170,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _compare_bytes(rows: DataFrame, members: DataFrame, digest):
     """None if equal digests always mean equal bytes; else the digests that don't, and their texts' groups."""
-    ids = members.dropDuplicates()
-    texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"])).filter(digest(F.col("text")) == F.col("digest")).select("digest", "text", rows["doc_id"])
+    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["doc_id"]), "left_semi").select(digest(F.col("text")).alias("digest"), "text")
     groups = texts.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
     clashes = stash(groups.groupBy("digest").count().filter("count > 1").select("digest"), "clashes")
     if clashes.isEmpty():
@@ -180,6 +179,7 @@ def _compare_bytes(rows: DataFrame, members: DataFrame, digest):
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns.  Rows that repeat the kept id all stay, and so do rows with a null id whose text no other row has."""
-    kept = exact_groups(docs, id_col, text_col, batches).filter("kept").select(F.col("doc_id").alias("_kept_id")).dropDuplicates()
-    return docs.join(kept, docs[id_col].cast("bigint").eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that exact_groups keeps, with all their columns.  Rows that share an id stay or go together, and they stay if one of them is kept."""
+    decided = exact_groups(docs, id_col, text_col, batches).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    lost = stash(decided.filter("not kept").select(F.col("doc_id").alias("_lost_id")), "exact-lost")
+    return docs.join(lost, docs[id_col].cast("bigint").eqNullSafe(lost["_lost_id"]), "left_anti")

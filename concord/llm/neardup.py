@@ -218,10 +218,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     across = keep(across.select("v", "key", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "large", "nm", "no"), "across")
     pairs = _small_lists(across.filter("not large").join(wide, "key"), percent).unionByName(_large_lists(across.filter("large"), wide, percent)).distinct()
     more = keep(verified(pairs), "links")
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more), keep, "ra", "rb")
-
-    groups = classes.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    # what links across components is decided between components, not documents
+    over = more.join(found, F.col("ra") == F.col("node"), "left").select(F.coalesce("component", "ra").alias("ca"), "rb")
+    over = over.join(found, F.col("rb") == F.col("node"), "left").select("ca", F.coalesce("component", "rb").alias("cb"))
+    merged = connected_components(keep(over.distinct(), "across-links"), keep, "ca", "cb").toDF("part", "whole")
+    first_id = F.coalesce("component", "rep")
+    groups = classes.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", first_id.alias("part_id"))
+    groups = groups.join(merged, F.col("part_id") == F.col("part"), "left").select("key", F.coalesce("whole", "part_id").alias("component_id"))
     linked = linkable.select("doc_id", "n", "key").join(groups, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = sketches.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)
@@ -229,8 +232,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    kept = near_duplicates(docs, width, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).dropDuplicates()
-    return docs.join(kept, docs[id_col].cast("bigint").eqNullSafe(kept["_kept_id"]), "left_semi")
+    lost = near_duplicates(docs, width, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_lost_id")).distinct()
+    lost = stash(lost, "near-lost")
+    return docs.join(lost, docs[id_col].cast("bigint") == lost["_lost_id"], "left_anti")
 
 
 def sure_overlap(k: int, similarity: float, lost: float) -> int:
