@@ -170,7 +170,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _compare_bytes(rows: DataFrame, members: DataFrame, digest):
     """None if equal digests always mean equal bytes; else the digests that don't, and their texts' groups."""
-    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["doc_id"]), "left_semi").select(digest(F.col("text")).alias("digest"), "text")
+    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["doc_id"]), "left_semi").select(digest(F.col("text")).alias("digest"), "text", "doc_id")
     groups = texts.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
     clashes = stash(groups.groupBy("digest").count().filter("count > 1").select("digest"), "clashes")
     if clashes.isEmpty():
