@@ -20,11 +20,11 @@ import unicodedata
 import numpy as np
 
 #: Entries of each of the two generations of a Python worker's piece cache.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 600_000
 #: Longest piece that is cached, in characters.
 CACHE_CHARS = 64
 #: Pieces encoded as one text, texts that share a search for new pieces.
-JOINED, TOGETHER = 400, 64
+JOINED, TOGETHER = 100, 256
 _UNSAFE = re.compile(r" (?:\s|$)|[\x1c-\x1f\x85\xa0  -‍    　]")
 
 
