@@ -108,9 +108,9 @@ def _packer(path: str, end_id: int, capacity: int, open_windows: int):
 
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(docs), 256):
-                coded = coder.encode(texts.slice(k, 256).to_pylist())
-                for doc, ids in zip(docs[k : k + 256], coded, strict=True):
+            for k in range(0, len(docs), 2048):
+                coded = coder.encode(texts.slice(k, 2048))
+                for doc, ids in zip(docs[k : k + 2048], coded, strict=True):
                     ids += end
                     total = len(ids) // 4
                     whole = total - total % capacity

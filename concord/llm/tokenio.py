@@ -49,8 +49,8 @@ def _writer(path: str, end_id: int, block_ids: int):
         size = 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(ids), 256):
-                for doc, coded in zip(ids[k : k + 256], coder.encode(texts.slice(k, 256).to_pylist()), strict=True):
+            for k in range(0, len(ids), 2048):
+                for doc, coded in zip(ids[k : k + 2048], coder.encode(texts.slice(k, 2048)), strict=True):
                     docs.append(doc)
                     held.append(coded + end)
                     lengths.append(len(held[-1]) // 4)

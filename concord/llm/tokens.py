@@ -14,18 +14,19 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of each of the two generations of a Python worker's piece cache.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Longest piece that is cached, in characters.
 CACHE_CHARS = 64
 #: Pieces encoded as one text, texts that share a search for new pieces.
-JOINED, TOGETHER = 100, 256
-_UNSAFE = re.compile(r" (?:\s|$)|[\x1c-\x1f\x85\xa0  -‍    　]")
+JOINED, TOGETHER, TOGETHER_BYTES = 100, 2048, 16 << 20
+_UNSAFE = r" (?:[\s\x0b]|\z)|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class TextEncoder:
@@ -51,7 +52,7 @@ class TextEncoder:
         end = spec["model"].get("end_of_word_suffix") or ""
         for token, i in self._tokenizer.get_vocab().items():
             self._lengths[i] = len(token.removesuffix(end) if end else token)
-        self._new: dict[str, bytes] = {"": b""} if self._mode == "word" else {}
+        self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
@@ -84,35 +85,61 @@ class TextEncoder:
                 out += self._one_by_one([lead + p for p in some])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts) -> list[bytes]:
+        """Of a list of strings or an Arrow array of them, without nulls."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, type=pa.string())
         out: list[bytes] = []
-        for k in range(0, len(texts), TOGETHER):
-            out += self._together(texts[k : k + TOGETHER])
+        at, step = 0, TOGETHER
+        while at < len(texts):
+            some = texts.slice(at, step)
+            if step > 1 and some.nbytes > TOGETHER_BYTES:
+                step //= 2
+                continue
+            out += self._together(some)
+            at += step
+            step = min(TOGETHER, step * 2)
         return out
 
-    def _together(self, texts: list[str]) -> list[bytes]:
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        """Pieces, their distinct values and the ids of all are found by whole arrays; Python sees distinct pieces only."""
         if self._mode == "whole":
-            return self._one_by_one(texts)
-        odd = {i for i, t in enumerate(texts) if self._mode == "space" and _UNSAFE.search(t)}
-        split = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        firsts = iter(self._one_by_one([t if i in odd else split[i][0] for i, t in enumerate(texts)]))
-        wanted = set()
-        for pieces in split:
-            wanted.update(pieces[1:])
+            return self._one_by_one(texts.to_pylist())
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)).tolist() if self._mode == "space" else []
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        values = split.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets = offsets - offsets[0]
+        coded = values.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        firsts = self._one_by_one(values.take(pa.array(offsets[:-1])).to_pylist())
         new, old = self._new, self._old
         missing = []
-        for piece in wanted.difference(new):
-            if piece in old:
-                new[piece] = old[piece]
-            else:
-                missing.append(piece)
+        for piece in pieces:
+            if piece not in new:
+                if piece in old:
+                    new[piece] = old[piece]
+                else:
+                    missing.append(piece)
         long: dict[str, bytes] = {}
         for piece, got in zip(missing, self._pieces(missing), strict=True):
             (new if len(piece) <= CACHE_CHARS else long)[piece] = got
-        look = new if not long else {p: long[p] if p in long else new[p] for p in wanted}
-        out = [next(firsts) + b"".join(map(look.__getitem__, pieces[1:])) for pieces in split]
+        blobs = [new[p] if p in new else long[p] for p in pieces] + firsts
         if len(new) > CACHE_PIECES:
             self._old, self._new = new, {}
+        codes[offsets[:-1]] = np.arange(len(pieces), len(blobs))  # no space before a text's first piece
+        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        pool = np.frombuffer(b"".join(blobs), dtype="<u4")
+        raw = pool[np.repeat(starts[codes] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[offsets] * 4
+        out = [raw[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if odd:
+            for i, ids in zip(odd, self._one_by_one(texts.take(pa.array(odd)).to_pylist()), strict=True):
+                out[i] = ids
         return out
 
 
