@@ -46,7 +46,6 @@ def as_text(x: Column, kind: T.DataType) -> Column:
         mantissa = F.regexp_replace(F.regexp_extract(shown, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
         power = F.regexp_extract(shown, r"E(-?[0-9]+)$", 1)
         written = F.concat(mantissa, F.lit("e"), F.when(power.startswith("-"), power).otherwise(F.concat(F.lit("+"), power)))
-        plain = F.regexp_replace(F.format_string("%.20f", d), r"0+$", "")
         digits = F.regexp_replace(mantissa, r"[-.]", "")
         small = F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), F.lit("0.000"), digits)
         large = d.cast("decimal(38,10)").cast("string")
@@ -54,7 +53,6 @@ def as_text(x: Column, kind: T.DataType) -> Column:
         text = F.when(F.isnan(d), F.lit("nan")).when(d == float("inf"), F.lit("inf")).when(d == float("-inf"), F.lit("-inf"))
         text = text.when((d == F.rint(d)) & (size < 1e16), whole).when((size >= 1e-4) & (size < 1e-3), small)
         text = text.when(size < 1e-4, written).when((size >= 1e7) & (size < 1e16), large).when(size >= 1e16, written)
-        del plain
         return text.otherwise(shown)
     if isinstance(kind, T.ArrayType):
         inner = F.transform(x, lambda v: _quoted(v, kind.elementType))
