@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each of the two generations of a Python worker's piece cache.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Longest piece that is cached, in characters.
 CACHE_CHARS = 64
 #: Pieces encoded as one text, texts that share a search for new pieces.
