@@ -29,6 +29,10 @@ JOINED, TOGETHER, TOGETHER_BYTES = 100, 2048, 16 << 20
 _UNSAFE = r" (?:[\s\x0b]|\z)|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: A full stop or comma that ends a run of several marks.
+_MARKS = r"[^\s\x0b\pL\pN][.,][\n ]"
+
+
 class TextEncoder:
     """encode(texts) gives for each text the ids of Tokenizer.encode(text, add_special_tokens=False), as little-endian uint32 bytes.
 
@@ -106,7 +110,14 @@ class TextEncoder:
         if self._mode == "whole":
             return self._one_by_one(texts.to_pylist())
         odd = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)).tolist() if self._mode == "space" else []
-        split = pc.split_pattern(texts, " ")
+        if self._mode == "word":
+            # white space is dropped and letters are lower-cased anyway, and a mark after a letter or digit stands alone
+            odd = np.flatnonzero(pc.match_substring_regex(texts, _MARKS).to_numpy(zero_copy_only=False)).tolist()
+            plain = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+            cut = pc.replace_substring(pc.replace_substring(plain, ". ", " . "), ", ", " , ")
+        else:
+            cut = texts
+        split = pc.split_pattern(cut, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         values = split.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets = offsets - offsets[0]
