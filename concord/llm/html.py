@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags.  The first pass looks at each
 block alone: its length, the density of stop words, the density of links, and
 the kind of container it is in.  It decides good or bad where that is clear and
 leaves short blocks and blocks of middling density open.  The second pass gives
-those the label of their nearest decided neighbours.
+those the label of their nearest decided neighbour.  What a container sets aside
+says nothing about its neighbours.
 """
 
 from __future__ import annotations
@@ -40,12 +41,13 @@ HINTS = frozenset(
 #: Shortest block that is judged alone, and from where a good block is sure, in characters.
 SHORT, LONG = 70, 200
 #: Stop words per word, from which a block is good or open; link words per word, from which it is bad.
-STOPS_HIGH, STOPS_LOW, LINKS = 0.32, 0.30, 0.33
+STOPS_HIGH, STOPS_LOW, LINKS = 0.20, 0.10, 0.33
 #: In an article only blocks that are nearly all links go.
 LINKS_IN_ARTICLE = 0.8
 
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[!?/][^>]*>)")
-_HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# a quote opens a value after = only, so that a > inside the value doesn't end the tag; nothing is tried twice
+_TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|[!?/][^>]*>)""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _CLOSE = {name: re.compile(rf"</{name}\s*>?", re.IGNORECASE) for name in RAW}
 GOOD, BAD, OPEN = 1, -1, 0
@@ -53,7 +55,7 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 def _set_aside(attributes: str) -> bool:
     """Whether class, id, role or style say that an element isn't part of the article."""
-    for name, *values in _HINT.findall(attributes):
+    for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
@@ -95,9 +97,9 @@ def blocks(page: str) -> list[_Block]:
             if in_link:
                 linked.append(text)
 
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), max(page.rfind(">"), page.rfind("<!--"))
     while at < size:
-        found = _TAG.search(page, at)
+        found = _TAG.search(page, at) if at <= last else None
         if not found:
             add(page[at:])
             break
@@ -114,9 +116,6 @@ def blocks(page: str) -> list[_Block]:
         if not name:
             continue
         name = name.lower()
-        while attributes.count('"') % 2 and (further := page.find(">", at)) >= 0:  # a > inside a value
-            attributes += page[at - 1 : further]
-            at = further + 1
         if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
@@ -174,36 +173,45 @@ def _alone(block: _Block) -> int:
     stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_HIGH:
         return GOOD if len(block.text) >= LONG else OPEN
-    return OPEN if stops >= STOPS_LOW else BAD
+    # long text without links may be in a language whose stop words aren't known
+    return OPEN if stops >= STOPS_LOW or (len(block.text) >= LONG and not block.links) else BAD
+
+
+def _nearest(labels: list[int]) -> list[int]:
+    """For each place the label of the nearest decided one; bad where two are as near and differ, open if there is none."""
+    near = [(len(labels) + 1, OPEN)] * len(labels)
+    for places in (range(len(labels)), reversed(range(len(labels)))):
+        label, away = OPEN, 0
+        for i in places:
+            label, away = (labels[i], 0) if labels[i] else (label, away + 1)
+            if label:
+                near[i] = min(near[i], (away, label))
+    return [label for _, label in near]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by a line break; empty if there is none.
 
-    An open block takes the label of its nearest decided neighbours; where they
-    differ, or there is none, a block inside an article element is good and
-    another one is bad.  A page with neither an article element nor a good block
+    An open block in an article element is good; another takes the label of the
+    nearest decided block outside set-aside containers, and is bad if there is
+    none.  Where the article elements hold most of the good text, what is
+    outside them goes.  A page with neither an article element nor a good block
     gives the open blocks.
     """
     found = blocks(page or "")
     labels = [_alone(b) for b in found]
-    before, after, last = [], [], OPEN
-    for label in labels:
-        last = label or last
-        before.append(last)
-    last = OPEN
-    for label in reversed(labels):
-        last = label or last
-        after.append(last)
-    after.reverse()
-    final = []
-    for block, label, left, right in zip(found, labels, before, after, strict=True):
-        if label == OPEN:
-            label = GOOD if block.article else left if left == right and left != OPEN else BAD
-        final.append(label)
+    body = [i for i, b in enumerate(found) if not b.aside]
+    final = list(labels)
+    for i, near in zip(body, _nearest([labels[i] for i in body]), strict=True):
+        if final[i] == OPEN:
+            final[i] = GOOD if found[i].article else near or BAD
     if GOOD not in final and not any(b.article for b in found):
         final = [GOOD if label == OPEN else label for label in labels]
-    return "\n".join(b.text for b, label in zip(found, final, strict=True) if label == GOOD)
+    good = [b for b, label in zip(found, final, strict=True) if label == GOOD]
+    inside = sum(len(b.text) for b in good if b.article)
+    if 2 * inside >= sum(len(b.text) for b in good) > 0:
+        good = [b for b in good if b.article]
+    return "\n".join(b.text for b in good)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -300,6 +300,11 @@ def test_html(spark):
     assert main_text(None) == "" and main_text("<p>plain") == "plain" and main_text("<!-- never closed") == ""
     long = "This is the text of the page that we want to have, and it is not so short. " * 4
     assert main_text(f"<div id=menu><a href=x>Home</a></div><p>{long}</p><p>Short one.</p><p>{long}</p><div class='side bar sidebar'>{long}</div>").count("\n") == 2
+    quotes = """<article><p title='5" tall' data-hidden="false">One > two</p><p alt="a > b" class=it's>Three</p><p data-x='class=ad'>Four</p><p class="\nad">x</p></article>"""
+    assert main_text(quotes) == "One > two\nThree\nFour"
+    assert main_text(f"<ul class=menu><li>Home</ul><h1>Head</h1><p>{long}</p><p>Short end.</p><div class=footer>us</div>") == f"Head\n{long.strip()}\nShort end."
+    assert main_text(f"<article><p>{long * 3}</p></article><div>{long}</div>").count("\n") == 0
+    assert main_text("<a b='1' c='2' " * 20000).count("<a") == 20000  # without an end it is no tag
     df = spark.createDataFrame([(1, "u", page), (2, None, None)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert [r["text"] for r in extract_text(df).orderBy("page_id").collect()] == [main_text(page), ""]
     assert extract_text(df.limit(0)).count() == 0
