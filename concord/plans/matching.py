@@ -17,7 +17,7 @@ from concord.sources import models
 from concord.storage import keeper
 
 #: Sizes of what training looks at: records per side, candidate pairs.
-SAMPLE_DEDUPE, SAMPLE_LINK, CANDIDATES = 5000, 4000, 10_000
+SAMPLE_ONE, SAMPLE_LINK, CANDIDATES = 5000, 4000, 10_000
 
 
 class NotTrained(RuntimeError):
@@ -225,10 +225,10 @@ class _Matcher:
         return rows.select("id_a", "id_b", self.model.score().alias("score")).filter("score > 0")
 
 
-class Dedupe(_Matcher):
+class Deduplicator(_Matcher):
     """Finds the records of one table that stand for the same thing."""
 
-    def prepare_training(self, records: DataFrame, training_file: str | None = None, sample_size: int = SAMPLE_DEDUPE) -> None:
+    def prepare_training(self, records: DataFrame, training_file: str | None = None, sample_size: int = SAMPLE_ONE) -> None:
         self._prepare(records, None, sample_size)
         if training_file:
             self.read_training(training_file)
@@ -356,4 +356,4 @@ def console_label(matcher, ask=input, show=print) -> None:
         matcher.mark_pairs(labels.label_pair(pair, label))
 
 
-__all__ = ["Dedupe", "RecordLink", "Gazetteer", "NotTrained", "Exhausted", "console_label", "Simple"]
+__all__ = ["Deduplicator", "RecordLink", "Gazetteer", "NotTrained", "Exhausted", "console_label", "Simple"]

@@ -14,7 +14,7 @@ from concord.operators.predicates import Index, Simple, from_config
 from concord.operators.similarity import canopies, documents, levenshtein_neighbours
 from concord.plans import rules
 from concord.plans import variables as V
-from concord.plans.matching import Dedupe, Gazetteer, NotTrained, RecordLink
+from concord.plans.matching import Deduplicator, Gazetteer, NotTrained, RecordLink
 from concord.plans.model import DataModel, Logistic, fit_logistic
 from concord.sources import models
 from concord.storage import keeper
@@ -184,7 +184,7 @@ def test_documents_of_a_field(spark, people):
 
 
 def test_partition_of_people(spark, people):
-    matcher = Dedupe([V.string("name"), V.string("age")])
+    matcher = Deduplicator([V.string("name"), V.string("age")])
     with pytest.raises(NotTrained):
         matcher.pairs(people)
     matcher.predicates = [Index("TfidfNGram", "Canopy", 0.4, "name")]
