@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.predicates import Compound, Index, index_parts, parts_of
-from concord.operators.similarity import search_keys, search_target_keys
+from concord.operators.similarity import search_tables, search_target_keys
 
 
 def block_keys(records: DataFrame, predicates: list, id_col: str, keep: Callable[[DataFrame, str], DataFrame], searched: DataFrame | None = None, is_target: bool = False) -> DataFrame:
@@ -25,12 +25,8 @@ def block_keys(records: DataFrame, predicates: list, id_col: str, keep: Callable
     if plain:
         found = F.array(*[F.struct(F.lit(i).alias("predicate"), p.keys(schema).alias("keys")) for i, p in plain])
         parts.append(records.select(F.col(id_col).alias("id"), F.inline(found)).select("predicate", F.explode("keys").alias("key"), "id"))
-    tables = {}
-    for index in index_parts(predicates):
-        if is_target:
-            tables[index] = search_target_keys(records, index, id_col)
-        else:
-            tables[index] = search_keys(records, index, id_col, keep, searched)
+    indexes = index_parts(predicates)
+    tables = {i: search_target_keys(records, i, id_col) for i in indexes} if is_target else search_tables(records, list(indexes), id_col, keep, searched)
     for i, p in enumerate(predicates):
         if isinstance(p, Index):
             parts.append(tables[p].select(F.lit(i).alias("predicate"), "key", "id"))

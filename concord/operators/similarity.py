@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from concord.functions.keys import as_text, prepared, truthy, word_tokens
 
 #: Terms in more documents than this, or than that share of them, are left out.
 STOP_LEAST, STOP_SHARE = 1000, 0.05
+#: Most links among documents whose canopies are found by one task.
+FEW_LINKS = 1_000_000
 
 
 def document(x: Column, kind: T.DataType, family: str) -> Column:
@@ -75,9 +78,12 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.join(norms, "query_id")
 
 
+def _reaches(threshold: float) -> Column:
+    return F.col("score") >= (F.col("qnorm") * F.lit(float(threshold))).cast("float")
+
+
 def tfidf_neighbours(docs: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    scores = tfidf_scores(docs, queries)
-    return scores.filter(F.col("score") >= (F.col("qnorm") * F.lit(float(threshold))).cast("float")).select("query_id", "doc_id", "score")
+    return tfidf_scores(docs, queries).filter(_reaches(threshold)).select("query_id", "doc_id", "score")
 
 
 def _segments(text: Column, k: int, at: Column, length: Column) -> Column:
@@ -111,11 +117,18 @@ def levenshtein_neighbours(docs: DataFrame, queries: DataFrame, k: int) -> DataF
     return hits.filter(F.levenshtein("query", "doc", k) >= 0).select("query_id", "doc_id")
 
 
-def neighbours(docs: DataFrame, queries: DataFrame, family: str, threshold: float) -> DataFrame:
-    """(query_id, doc_id) within the threshold of a family."""
-    if family == "Levenshtein":
-        return levenshtein_neighbours(docs, queries, int(threshold))
-    return tfidf_neighbours(docs, queries, threshold).select("query_id", "doc_id")
+def _canopies_in_order(batches):
+    centre_of: dict = {}
+    kind = centre = last = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for asked, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if asked != last:
+                last, centre = asked, centre_of.setdefault(asked, asked)
+            if centre == asked:
+                centre_of.setdefault(found, asked)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), type=kind) for x in (centre_of.keys(), centre_of.values())], names=["doc_id", "canopy"])
 
 
 def canopies(near: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -124,9 +137,13 @@ def canopies(near: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Da
     In the order of their ids, a document that no earlier centre has claimed
     becomes a centre and claims its unclaimed neighbours; a document without
     other neighbours forms no canopy.  A document can be decided as soon as all earlier documents
-    that list it are, so all such are decided at once, round by round.
+    that list it are, so all such are decided at once, round by round.  Up to
+    ``FEW_LINKS`` links, which one task holds, the order is simply gone through.
     """
     near = keep(near.filter("query_id <> doc_id").select("query_id", "doc_id").distinct(), "near")
+    if near.count() <= FEW_LINKS:
+        kind = near.schema["doc_id"].dataType.simpleString()
+        return near.coalesce(1).sortWithinPartitions("query_id").mapInArrow(_canopies_in_order, f"doc_id {kind}, canopy {kind}")
     earlier = keep(near.filter("query_id < doc_id"), "earlier")
     everyone = keep(near.select(F.col("query_id").alias("doc_id")).union(near.select("doc_id")).distinct(), "everyone")
     lists = keep(near.select("query_id").distinct(), "lists")
@@ -153,26 +170,35 @@ def canopies(near: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Da
     return own.unionByName(claims.groupBy("doc_id").agg(F.min("query_id").alias("canopy")))
 
 
-def search_keys(records: DataFrame, index, id_col: str, keep, target: DataFrame | None = None) -> DataFrame:
-    """(id, key) of one similarity predicate.
+def search_tables(records: DataFrame, indexes: list, id_col: str, keep, target: DataFrame | None = None) -> dict:
+    """For each similarity predicate its (id, key); those of one field and family share their documents and scores.
 
     For a canopy the key is its centre.  For a search the records ask and every
     document within the threshold is a key; with ``target`` records, those are
     what is searched, and their own document is their key (``target`` rows come
     from search_target_keys).
     """
-    own = keep(documents(records, index.field, index.family, id_col), "documents")
-    asked = own.select("doc_id", "doc").dropDuplicates(["doc_id"])
-    if target is None:
-        docs = asked
-    else:
-        docs = keep(documents(target, index.field, index.family, id_col), "documents").select("doc_id", "doc").dropDuplicates(["doc_id"])
-    near = neighbours(docs, asked, index.family, index.threshold)
-    if index.mode == "Canopy":
-        found = canopies(near, keep)
-        return own.join(found, "doc_id").select("id", F.col("canopy").cast("string").alias("key"))
-    near = near.select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("near_id"))
-    return own.join(near, "doc_id").select("id", F.col("near_id").cast("string").alias("key"))
+    tables = {}
+    shared: dict[tuple, list] = {}
+    for index in indexes:
+        shared.setdefault((index.field, index.family), []).append(index)
+    for (field, family), group in shared.items():
+        own = keep(documents(records, field, family, id_col), "documents")
+        asked = own.select("doc_id", "doc").dropDuplicates(["doc_id"])
+        docs = asked if target is None else keep(documents(target, field, family, id_col), "documents").select("doc_id", "doc").dropDuplicates(["doc_id"])
+        thresholds = sorted({index.threshold for index in group})
+        if family == "Levenshtein":
+            near = {t: keep(levenshtein_neighbours(docs, asked, int(t)), "near") for t in thresholds}
+        else:
+            scores = keep(tfidf_scores(docs, asked).filter(_reaches(thresholds[0])), "near-scores")
+            near = {t: scores.filter(_reaches(t)).select("query_id", "doc_id") for t in thresholds}
+        for index in group:
+            if index.mode == "Canopy":
+                found = canopies(near[index.threshold], keep).withColumnRenamed("canopy", "near_id")
+            else:
+                found = near[index.threshold].select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("near_id"))
+            tables[index] = own.select("id", "doc_id").join(found, "doc_id").select("id", F.col("near_id").cast("string").alias("key"))
+    return tables
 
 
 def search_target_keys(target: DataFrame, index, id_col: str) -> DataFrame:

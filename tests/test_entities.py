@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions import kernels
 from concord.functions.keys import keys
 from concord.functions.metaphone import codes
-from concord.operators import labels, resolve
+from concord.operators import labels, resolve, similarity
 from concord.operators.graph import connected_components
 from concord.operators.predicates import Index, Simple, from_config
 from concord.operators.similarity import canopies, documents, levenshtein_neighbours
@@ -144,10 +144,13 @@ def test_greedy_matching_equals_the_sequential_one(spark):
     assert {(r["id_a"], r["id_b"]) for r in resolve.one_to_one(df, keeper(spark)).collect()} == want
 
 
-def test_canopies_equal_the_sequential_rule(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("both_ways", [False, True])
+def test_canopies_equal_the_sequential_rule(spark, monkeypatch, few, both_ways):
+    monkeypatch.setattr(similarity, "FEW_LINKS", few)
     rng = random.Random(11)
     near = {(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(60)) if a != b}
-    near |= {(b, a) for a, b in near}
+    near |= {(b, a) for a, b in near} if both_ways else set()
     want, centre = {}, {}
     for d in range(30):
         if d in want:
