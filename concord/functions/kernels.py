@@ -300,19 +300,19 @@ def flat_cut(merges: list[tuple[int, int, float, int]], n: int, most: float) ->
     return [sorted(c) for c in found]
 
 
-def cluster_component(ids: list, pairs: list[tuple[int, int, float]], threshold: float) -> list[tuple[list, list[float]]]:
+def cluster_component(ids: list, pairs: list[tuple[int, int, float]] | tuple[np.ndarray, ...], threshold: float) -> list[tuple[list, list[float]]]:
     """Clusters of two or more and each member's confidence, of one component.
 
-    ``pairs`` are (place, place, score) over the sorted ids; an absent pair has
-    distance 1.  A single edge is a cluster if its score is above the threshold.
+    ``pairs`` are (place, place, score) over the sorted ids, as a list or as a
+    tuple of three arrays; an absent pair has distance 1.  A single edge is a cluster if its score is above the threshold.
     """
     n = len(ids)
+    left, right, scores = pairs if isinstance(pairs, tuple) else map(np.array, zip(*pairs, strict=True))
     if n == 2:
-        score = pairs[0][2]
+        score = float(scores[0])
         return [(list(ids), [score, score])] if score > threshold else []
     d = np.ones((n, n), dtype=np.float32)
-    for i, j, score in pairs:
-        d[i, j] = d[j, i] = np.float32(1) - np.float32(score)
+    d[left, right] = d[right, left] = np.float32(1) - np.asarray(scores, dtype=np.float32)
     merges = centroid_linkage(d.astype(np.float64))
     squared = d * d
     out = []

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,10 +64,11 @@ def cluster(scores: DataFrame, keep: Keep, threshold: float = 0.5, max_component
     name = kind.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        ids = sorted({r[c] for r in rows for c in ("id_a", "id_b")})
-        place = {x: i for i, x in enumerate(ids)}
-        found = cluster_component(ids, [(place[r["id_a"]], place[r["id_b"]], r["score"]) for r in rows], threshold)
+        ends = [table["id_a"].combine_chunks(), table["id_b"].combine_chunks()]
+        ids = sorted(set(pc.unique(ends[0]).to_pylist()) | set(pc.unique(ends[1]).to_pylist()))
+        known = pa.array(ids, type=ends[0].type)
+        left, right = (pc.index_in(x, value_set=known).to_numpy() for x in ends)
+        found = cluster_component(ids, (left, right, table["score"].to_numpy()), threshold)
         out = [(members[0], x, c) for members, confidences in found for x, c in zip(members, confidences, strict=True)]
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         own = table.schema.field("id_a").type
