@@ -323,3 +323,27 @@ def test_pipeline_runs_over_documents(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     packed = {r["doc_id"] for r in rows}
     assert packed <= set(range(5, 45)) and len(packed) > 25
+
+    # every stage after the classifier against brute force over what the classifier keeps
+    kept = corpus_pipeline.good_documents(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    last = {}
+    for r in kept:
+        last[r["text"]] = max(r["doc_id"], last.get(r["text"], -1))
+    left = [r for r in kept if last[r["text"]] == r["doc_id"]]
+    first = {d: root for d, (_, root) in brute_components([(r["doc_id"], r["text"]) for r in left], 5, 80).items()}
+    left = [r for r in left if first[r["doc_id"]] == r["doc_id"]]
+    sizes = {name: sum(len(words_of(r["text"])) for r in left if r["source"] == name) for name in ("s0", "s1")}
+    share = 1.5 * sum(sizes.values())
+    rate = {"s0": min(2.0, share * 3 / 4 / sizes["s0"]), "s1": min(2.0, share / 4 / sizes["s1"])}
+    if rate["s0"] == 2.0:  # what s0 can't take goes to s1
+        rate["s1"] = min(2.0, (share - 2 * sizes["s0"]) / sizes["s1"])
+    tokenizer, want, got = Tokenizer.from_file(BYTES), {}, {}
+    for r in left:
+        draw = int(hashlib.md5(f"mix|{r['doc_id']}".encode()).hexdigest()[:12], 16) / 2**48
+        whole = int(rate[r["source"]])
+        copies = whole + (draw < rate[r["source"]] - whole)
+        if copies:
+            want[r["doc_id"]] = copies * (len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1)
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want
