@@ -175,7 +175,7 @@ class _Matcher:
         if not self.training["match"] or not self.training["distinct"]:
             return
         x, y = self._features()
-        self._fitted = grid_search(x, y) if len(x) < 50 else grid_search(x[-500:], y[-500:])
+        self._fitted = grid_search(x, y)
         matches = self._match_cover()
         chosen = rules.learn(list(range(len(self._predicate_list))), matches, self._cover, len(self.training["match"]))
         self._rules = {c for c in chosen if isinstance(c, int)}

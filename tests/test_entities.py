@@ -278,3 +278,14 @@ def test_a_large_component_is_cut(spark):
     df = spark.createDataFrame(edges, "id_a int, id_b int, score float")
     got = resolve.components(df, keeper(spark), max_component=5).select("component").distinct().collect()
     assert {r[0] for r in got} == {0, 4}
+
+
+def test_marking_fits_on_all_labels(spark, people):
+    matcher = Deduplicator([V.exact("name"), V.exact("age")])
+    matcher.prepare_training(people)
+    rows = [dict(zip(("id", "name", "age"), p, strict=True)) for p in PEOPLE]
+    matches = [(rows[0], {**rows[0], "id": 100 + i}) for i in range(20)]
+    matcher.mark_pairs({"match": matches, "distinct": [(rows[0], rows[1])] * 520})
+    # same in both fields, in none
+    p = matcher._fitted.probabilities(np.array([[1.0, 1.0], [0.0, 0.0]]))
+    assert p[0] > 0.5 > p[1]
