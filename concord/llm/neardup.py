@@ -4,8 +4,8 @@
    class.  A class keeps the k smallest hashes of its set, its sketch.
 2. Inverted lists of retained values generate candidates.  A pair that is
    similar enough shares at least ``overlap`` retained values (all but about
-   1 in 1e9 such pairs at k = 64; all of them where the sketches hold the
-   whole sets), so with the values of each sketch ordered from rare to common
+   1 in 1e9 such pairs, see ``sure_overlap``; all of them where the sketches
+   hold the whole sets), so with the values of each sketch ordered from rare to common
    only a prefix of it has to be listed.  A common passage is at the end of the
    order and makes no list unless little else is in the text.
 3. Every list's members are compared with its smallest class.  The links found
@@ -35,10 +35,10 @@ from concord.llm.shingles import shingle_sets, signed
 from concord.operators.graph import connected_components
 from concord.shipping import ship
 
-#: Retained values of a sketch, and how many of them a similar pair shares at least.
-K, OVERLAP = 64, 30
-#: The same for the wider sketches that decide which pairs across components are verified.
-WIDE, WIDE_OVERLAP = 256, 163
+#: Retained values of a sketch, and of the wider ones that decide which pairs across components are verified.
+K, WIDE = 64, 256
+#: Share of the similar pairs that may have fewer retained values in common than is asked.
+LOST = 1e-9
 #: Longest list whose pairs are joined as they are; sizes of the chunks that longer ones are cut into.
 SMALL_LIST, CHUNK_MEMBERS, CHUNK_OTHERS = 32, 2000, 1000
 
@@ -83,23 +83,23 @@ def _estimate(a: str, b: str, k: int, overlap: int, percent: int, slack: int = 0
     return F.when(F.size(union) < k, 100 * (common + slack) >= percent * F.size(union)).otherwise(common >= overlap)
 
 
-def _small_lists(across: DataFrame, percent: int) -> DataFrame:
+def _small_lists(across: DataFrame, percent: int, overlap: int) -> DataFrame:
     """Pairs across components under lists of a bounded length, by a join."""
     one = across.filter("not is_main").select("v", F.col("key").alias("ka"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("vs").alias("va"), F.col("wide").alias("wa"))
     two = across.select("v", F.col("key").alias("kb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("vs").alias("vb"), F.col("wide").alias("wb"), "is_main")
     near = (F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("ka") < F.col("kb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     # a pair is compared under one of the values that it shares
     first = F.try_element_at(F.array_intersect("va", "vb"), F.lit(1)) == one["v"]
-    return one.join(two, (one["v"] == two["v"]) & near & first & _estimate("wa", "wb", WIDE, WIDE_OVERLAP, percent, 2)).select("ka", "ra", "kb", "rb")
+    return one.join(two, (one["v"] == two["v"]) & near & first & _estimate("wa", "wb", WIDE, overlap, percent, 2)).select("ka", "ra", "kb", "rb")
 
 
-def _large_lists(across: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+def _large_lists(across: DataFrame, wide: DataFrame, percent: int, overlap: int) -> DataFrame:
     """The same pairs under long lists: every chunk of members meets every chunk of those outside the main component."""
     spread = [F.pmod(F.xxhash64("key"), "nm").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "no").cast("int")]
     members = across.select("v", "key", "comp", "is_main", F.lit(0).alias("role"), spread[0].alias("m"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("o"))
     others = across.filter("not is_main").select("v", "key", "comp", "is_main", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), spread[1].alias("o"))
     rows = members.unionByName(others).join(wide, "key").select("v", "m", "o", "role", "key", "rep", "n", "comp", "is_main", "vs", "wide")
-    return rows.groupBy("v", "m", "o").applyInArrow(_chunk_pairs(percent), "ka binary, ra bigint, kb binary, rb bigint")
+    return rows.groupBy("v", "m", "o").applyInArrow(_chunk_pairs(percent, overlap), "ka binary, ra bigint, kb binary, rb bigint")
 
 
 def _inverted(lists: pa.ChunkedArray) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
@@ -114,7 +114,7 @@ def _inverted(lists: pa.ChunkedArray) -> tuple[list[np.ndarray], dict[int, np.nd
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dict(zip(found.tolist(), split, strict=True))
 
 
-def _chunk_pairs(percent: int):
+def _chunk_pairs(percent: int, overlap: int):
     def run(table: pa.Table) -> pa.Table:
         role = table["role"].to_numpy()
         members, others = table.filter(pa.array(role == 0)), table.filter(pa.array(role == 1))
@@ -147,7 +147,7 @@ def _chunk_pairs(percent: int):
                         common[held[x]] += 1
                 mine = len(own_wides[i])
                 whole = (width < WIDE) & (mine < WIDE)
-                near = np.where(whole, 100 * (common + 2) >= percent * (width + mine - common), common >= min(WIDE_OVERLAP, mine))
+                near = np.where(whole, 100 * (common + 2) >= percent * (width + mine - common), common >= min(overlap, mine))
                 out += [(key, rep, keys[j], int(reps[j])) for j in np.flatnonzero(open_ & near).tolist()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         types = [pa.binary(), pa.int64(), pa.binary(), pa.int64()]
@@ -156,7 +156,7 @@ def _chunk_pairs(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, overlap: int = OVERLAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, overlap: int | None = None) -> DataFrame:
     """For every row: (doc_id, n_shingles, component_id, kept).
 
     Two rows are linked where 100 * intersection >= percent * union of their
@@ -165,8 +165,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     null id are linked with nothing: component_id is their own doc_id and they
     are kept.  Rows that repeat an id are one document whose texts belong
     together.  A table without rows gives none; other columns are ignored.
+    ``overlap`` follows from ``percent`` where it isn't given, and for a small
+    ``percent`` the sketches are made longer until similar pairs share a value.
     """
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is above 0 and at most 100, not {percent!r}")
     ship(docs.sparkSession)
+    if overlap is None:
+        while not (overlap := sure_overlap(k, percent / 100, LOST)):
+            k *= 2
+    wide_overlap = sure_overlap(WIDE, percent / 100, LOST)
 
     def keep(df, label):
         return stash(df, f"near-{label}")
@@ -216,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sizes = open_lists.select("v", "main", "c", (F.col("c") > SMALL_LIST).alias("large"), F.ceil(F.col("c") / CHUNK_MEMBERS).cast("int").alias("nm"), F.ceil(F.col("others") / CHUNK_OTHERS).cast("int").alias("no"))
     across = placed.join(sizes, "v")
     across = keep(across.select("v", "key", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "large", "nm", "no"), "across")
-    pairs = _small_lists(across.filter("not large").join(wide, "key"), percent).unionByName(_large_lists(across.filter("large"), wide, percent)).distinct()
+    pairs = _small_lists(across.filter("not large").join(wide, "key"), percent, wide_overlap).unionByName(_large_lists(across.filter("large"), wide, percent, wide_overlap)).distinct()
     more = keep(verified(pairs), "links")
     # what links across components is decided between components, not documents
     over = more.join(found, F.col("ra") == F.col("node"), "left").select(F.coalesce("component", "ra").alias("ca"), "rb")
@@ -239,7 +247,10 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 def sure_overlap(k: int, similarity: float, lost: float) -> int:
     """The largest overlap that a pair of that similarity has in a bottom-k sketch with probability of at least 1 - lost."""
+    if similarity >= 1:
+        return k
     below, t = 0.0, 0
-    while below + (p := math.comb(k, t) * similarity**t * (1 - similarity) ** (k - t)) <= lost:
+    # by logarithms, as the coefficients of long sketches exceed a float
+    while below + (p := math.exp(math.lgamma(k + 1) - math.lgamma(t + 1) - math.lgamma(k - t + 1) + t * math.log(similarity) + (k - t) * math.log1p(-similarity))) <= lost:
         below, t = below + p, t + 1
     return t

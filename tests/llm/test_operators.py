@@ -181,6 +181,27 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_overlaps_follow_from_the_percent():
+    assert [neardup.sure_overlap(k, 0.8, 1e-9) for k in (64, 256)] == [30, 163]
+    assert [neardup.sure_overlap(k, 0.5, 1e-9) for k in (64, 256)] == [9, 81]
+    assert neardup.sure_overlap(64, 1.0, 1e-9) == 64 and neardup.sure_overlap(4096, 0.5, 1e-9) > 1500
+
+
+@pytest.mark.parametrize("percent", [50, 15])
+def test_near_duplicates_of_a_low_percent(spark, percent):
+    rng = random.Random(6)
+    rows = []
+    for g in range(20):  # three texts of a group: 0 and 2 are near, 1 is nearer to 0; sets longer than the wide sketches
+        shared = [f"g{g}w{i}" for i in range(400)]
+        for part, share in enumerate((1.0, 0.95, 2 * percent / (100 + percent) + 0.01)):
+            n = int(400 * share)
+            rows.append((3 * g + part, " ".join(shared[:n] + [f"t{g}p{part}x{rng.randrange(10**6)}" for _ in range(400 - n)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2, percent).collect()}
+    want = brute_components(rows, 2, percent)
+    assert got == want and {c for _, c in want.values()} == set(range(0, 60, 3))
+
+
 def test_line_dedup(docs, empty):
     got = linededup.drop_repeated_lines(docs, batches=3).collect()
     owner = {}
