@@ -4,12 +4,15 @@ Documents arrive in batches.  Rows that are equal within a batch are grouped
 first.  Each batch's new digests become an immutable snapshot: an exact table
 (the buckets), and one binary-fuse filter for each bucket, built once.  The
 digests of a later batch are screened by the filters of all earlier snapshots;
-only positives join the exact buckets.  Where a class has more than one row, the
-bytes of its texts are compared before anything is dropped.
+negatives open a class, and only positives join the exact buckets to find theirs.
+A class of one row is that row; the others are joined to their rows, and the
+bytes of their texts are compared before anything is dropped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,27 +140,33 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     snapshots = new_path(spark, "snapshots")
     filters = new_path(spark, "filters")
-    schema = "snapshot int, bucket int, digest binary"
+    schema = "snapshot int, bucket int, digest binary, n bigint, last bigint"
+    more = []  # what later batches add to the classes of earlier ones
     for b in range(batches):
-        incoming = groups.filter(F.col("batch") == b).select(F.lit(b).alias("snapshot"), "bucket", "digest")
+        incoming = groups.filter(F.col("batch") == b).select(F.lit(b).alias("snapshot"), "bucket", "digest", "n", "last")
         if b:
             earlier = spark.read.schema(FILTERS).parquet(filters)
             screened = incoming.groupBy("bucket").cogroup(earlier.groupBy("bucket")).applyInArrow(_screen, schema + ", positive boolean")
             screened = stash(screened, f"screened-{b}")
-            exact = spark.read.schema(schema).parquet(snapshots).select("digest")
-            new = screened.filter("not positive").unionByName(screened.filter("positive").join(exact, "digest", "left_anti")).drop("positive")
+            exact = spark.read.schema(schema).parquet(snapshots).select("digest", F.lit(True).alias("known"))
+            positive = stash(screened.filter("positive").join(exact, "digest", "left"), f"positive-{b}")
+            more.append(positive.filter("known").select("digest", "n", "last"))
+            new = screened.filter("not positive").unionByName(positive.filter("known is null").drop("known")).drop("positive")
             new = stash(new, f"new-{b}")
         else:
             new = incoming
         new.write.mode("append").parquet(snapshots)
         if b < batches - 1:
-            new.groupBy("bucket").applyInArrow(_build, FILTERS).write.mode("append").parquet(filters)
+            new.select("snapshot", "bucket", "digest").groupBy("bucket").applyInArrow(_build, FILTERS).write.mode("append").parquet(filters)
 
-    # every batch's groups join their class in the exact buckets
-    classes = spark.read.schema(schema).parquet(snapshots).select("digest")
-    classes = groups.join(classes, "digest").groupBy("digest").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    classes = spark.read.schema(schema).parquet(snapshots).select("digest", "n", "last")
+    if more:
+        added = reduce(DataFrame.unionByName, more).groupBy("digest").agg(F.sum("n").alias("more_n"), F.max("last").alias("more_last"))
+        total = F.col("n") + F.coalesce("more_n", F.lit(0))
+        classes = classes.join(added, "digest", "left").select("digest", total.alias("n"), F.greatest("last", "more_last").alias("last"))
     classes = stash(classes, "classes")
-    members = digests.join(classes, "digest").select("doc_id", "digest", "n", "last")
+    several = digests.join(classes.filter("n > 1"), "digest").select("doc_id", "digest", "n", "last")
+    members = classes.filter("n = 1").select(F.col("last").alias("doc_id"), "digest", "n", "last").unionByName(several)
     same = _compare_bytes(rows, stash(members.filter("n > 1").select("doc_id").distinct(), "members"), digest)
     kept = F.col("doc_id").eqNullSafe(F.col("last"))
     if same is None:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -133,6 +134,25 @@ def test_exact_groups(docs, empty, weak):
     assert exactdedup.drop_exact_copies(docs).columns == docs.columns
 
 
+def test_exact_groups_go_by_the_screening(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "same" if i < 3 else f"own {i}") for i in range(9)], "doc_id bigint, text string")
+
+    def sizes():
+        got = exactdedup.exact_groups(df).collect()
+        return sorted((r["doc_id"], r["group_size"]) for r in got)
+
+    def answer(positive):
+        monkeypatch.setattr(exactdedup, "_screen", lambda incoming, filters: incoming.append_column("positive", pa.array([positive] * incoming.num_rows, type=pa.bool_())))
+
+    right = [(i, 3 if i < 3 else 1) for i in range(9)]
+    assert sizes() == right
+    answer(True)
+    assert sizes() == right
+    # negatives never meet the exact buckets: filters that cleared everything would leave each batch its own classes
+    answer(False)
+    assert sizes() == [(i, 1) for i in range(9)]
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
