@@ -80,7 +80,8 @@ def blocks(page: str) -> list[_Block]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # of open containers: name, set aside, article
-    dropped, in_link = 0, 0
+    dropped: list[tuple[str, int]] = []  # open elements without text of the page: name, containers around it
+    in_link = 0
     aside = article = False
 
     def end_block():
@@ -120,7 +121,9 @@ def blocks(page: str) -> list[_Block]:
             if name == "a":
                 in_link = max(0, in_link - 1)
             elif name in DROPPED:
-                dropped = max(0, dropped - 1)
+                if any(x[0] == name for x in dropped):
+                    while dropped.pop()[0] != name:
+                        pass
             elif name in BLOCKS:
                 end_block()
                 in_link = 0
@@ -128,6 +131,9 @@ def blocks(page: str) -> list[_Block]:
                     while stack.pop()[0] != name:
                         pass
                     aside, article = stack[-1][1:] if stack else (False, False)
+                    # the end tag of an option may be missing
+                    while dropped and dropped[-1][0] == "option" and dropped[-1][1] > len(stack):
+                        dropped.pop()
             continue
         if name in RAW:
             close = _CLOSE[name].search(page, at)
@@ -138,10 +144,13 @@ def blocks(page: str) -> list[_Block]:
         elif name == "a":
             in_link = 1
         elif name in DROPPED:
-            dropped += not attributes.rstrip().endswith("/") and name not in VOID
+            if name == "option" and dropped and dropped[-1][0] == "option":
+                dropped.pop()
+            if not attributes.rstrip().endswith("/") and name not in VOID:
+                dropped.append((name, len(stack)))
         elif name == "body":
             end_block()
-            dropped = 0
+            dropped.clear()
         elif name in BLOCKS:
             end_block()
             in_link = 0

@@ -351,6 +351,13 @@ def test_html(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_html_options_without_end_tags():
+    long = "This is the text of the page that we want to have, and it is not so short. " * 4
+    menus = ["<select><option>A<option>B</select>", "<datalist id=x><option>A<option>B<option>C</datalist>", "<select><optgroup><option>A</option><option>B</optgroup></select>", "<div><option>A<option>B</div>", "<svg><text>x</select>y</svg>"]
+    for menu in menus:
+        assert main_text(f"{menu}<article><p>{long}</p></article>") == long.strip(), menu
+
+
 def test_pipeline_runs_over_documents(spark, tmp_path):
     import corpus_pipeline
 
