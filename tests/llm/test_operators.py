@@ -358,6 +358,20 @@ def test_html_options_without_end_tags():
         assert main_text(f"{menu}<article><p>{long}</p></article>") == long.strip(), menu
 
 
+def test_the_packing_stage_keeps_the_tokens(spark, docs):
+    import corpus_pipeline
+
+    tokenizer = Tokenizer.from_file(BYTES)
+    tokenizer.encode_special_tokens = True
+    some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    pieces = {}
+    for r in corpus_pipeline.packed_sequences(spark, some, "").collect():
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+        pieces.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()))
+    got = {doc: [x for _, ids in sorted(parts) for x in ids] for doc, parts in pieces.items()}
+    assert got == {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for d, t in texts_of(some)}
+
+
 def test_pipeline_runs_over_documents(spark, tmp_path):
     import corpus_pipeline
 
