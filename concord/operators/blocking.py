@@ -12,12 +12,13 @@ from concord.operators.predicates import Compound, Index, index_parts, parts_of
 from concord.operators.similarity import search_tables, search_target_keys
 
 
-def block_keys(records: DataFrame, predicates: list, id_col: str, keep: Callable[[DataFrame, str], DataFrame], searched: DataFrame | None = None, is_target: bool = False) -> DataFrame:
+def block_keys(records: DataFrame, predicates: list, id_col: str, keep: Callable[[DataFrame, str], DataFrame], searched: DataFrame | None = None, is_target: bool = False, context: DataFrame | None = None) -> DataFrame:
     """(predicate int, key, id): every record's keys under every predicate, each once.
 
     Predicates without a similarity search are evaluated in one pass over the
     records.  For links, ``searched`` is the other side, whose values are
     searched; ``is_target`` says that these records are that side themselves.
+    ``context`` records count for the term frequencies of the searches, and get no keys.
     """
     schema = records.schema
     parts = []
@@ -26,7 +27,7 @@ def block_keys(records: DataFrame, predicates: list, id_col: str, keep: Callable
         found = F.array(*[F.struct(F.lit(i).alias("predicate"), p.keys(schema).alias("keys")) for i, p in plain])
         parts.append(records.select(F.col(id_col).alias("id"), F.inline(found)).select("predicate", F.explode("keys").alias("key"), "id"))
     indexes = index_parts(predicates)
-    tables = {i: search_target_keys(records, i, id_col) for i in indexes} if is_target else search_tables(records, list(indexes), id_col, keep, searched)
+    tables = {i: search_target_keys(records, i, id_col) for i in indexes} if is_target else search_tables(records, list(indexes), id_col, keep, searched, context)
     for i, p in enumerate(predicates):
         if isinstance(p, Index):
             parts.append(tables[p].select(F.lit(i).alias("predicate"), "key", "id"))

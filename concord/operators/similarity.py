@@ -64,13 +64,14 @@ def inverse_frequencies(posted: DataFrame, n_docs: int) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= most).select("term", F.log(1.0 + F.lit(float(n_docs)) / F.col("df")).alias("idf"))
 
 
-def tfidf_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def tfidf_scores(docs: DataFrame, queries: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, qnorm) of all pairs that share a term; docs and queries are (doc_id, doc), each document once.
 
+    Term frequencies and stop words are those of docs, or of ``counted``, documents of which docs are a part.
     One pass serves every threshold: a pair is near at t if score >= float(qnorm * t).
     """
     posted = postings(docs)
-    idf = inverse_frequencies(posted, docs.count())
+    idf = inverse_frequencies(posted, docs.count()) if counted is None else inverse_frequencies(postings(counted), counted.count())
     asked = queries.select(F.col("doc_id").alias("query_id"), F.explode("doc").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n")).join(idf, "term")
     asked = asked.select("query_id", "term", "n", "idf")
     norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qnorm"))
@@ -170,13 +171,14 @@ def canopies(near: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Da
     return own.unionByName(claims.groupBy("doc_id").agg(F.min("query_id").alias("canopy")))
 
 
-def search_tables(records: DataFrame, indexes: list, id_col: str, keep, target: DataFrame | None = None) -> dict:
+def search_tables(records: DataFrame, indexes: list, id_col: str, keep, target: DataFrame | None = None, context: DataFrame | None = None) -> dict:
     """For each similarity predicate its (id, key); those of one field and family share their documents and scores.
 
     For a canopy the key is its centre.  For a search the records ask and every
     document within the threshold is a key; with ``target`` records, those are
     what is searched, and their own document is their key (``target`` rows come
-    from search_target_keys).
+    from search_target_keys).  Terms are counted over what is searched, and the
+    ``context`` records where given.
     """
     tables = {}
     shared: dict[tuple, list] = {}
@@ -190,7 +192,12 @@ def search_tables(records: DataFrame, indexes: list, id_col: str, keep, target:
         if family == "Levenshtein":
             near = {t: keep(levenshtein_neighbours(docs, asked, int(t)), "near") for t in thresholds}
         else:
-            scores = keep(tfidf_scores(docs, asked).filter(_reaches(thresholds[0])), "near-scores")
+            counted = None
+            if context is not None:
+                value = document(F.col(field), context.schema[field].dataType, family).alias("doc")
+                counted = context.select(value).filter("doc is not null").union(docs.select("doc")).distinct()
+                counted = keep(counted.select(F.monotonically_increasing_id().alias("doc_id"), "doc"), "counted")
+            scores = keep(tfidf_scores(docs, asked, counted).filter(_reaches(thresholds[0])), "near-scores")
             near = {t: scores.filter(_reaches(t)).select("query_id", "doc_id") for t in thresholds}
         for index in group:
             if index.mode == "Canopy":

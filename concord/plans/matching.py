@@ -16,8 +16,8 @@ from concord.plans.model import DataModel, Logistic, grid_search
 from concord.sources import models
 from concord.storage import keeper
 
-#: Sizes of what training looks at: records per side, candidate pairs.
-SAMPLE_ONE, SAMPLE_LINK, CANDIDATES = 5000, 4000, 10_000
+#: Sizes of what training looks at: records per side, records that similarity searches count terms over, candidate pairs.
+SAMPLE_ONE, SAMPLE_LINK, INDEXED, CANDIDATES = 5000, 4000, 50_000, 10_000
 
 
 class NotTrained(RuntimeError):
@@ -75,17 +75,19 @@ class _Matcher:
     def _candidate_predicates(self) -> list:
         return [p for p in self.data_model.predicates if not isinstance(p, Index) or p.mode == self.modes]
 
-    def _prepare(self, left: DataFrame, right: DataFrame | None, size: int) -> None:
+    def _prepare(self, left: DataFrame, right: DataFrame | None, size: int, index_size: int) -> None:
         for side in (left,) if right is None else (left, right):
             self.data_model.check(side)
             if side.isEmpty():
                 raise ValueError("there are no records")
         keep = keeper(left.sparkSession)
         fields = [self.id_col, *self.data_model.fields]
-        a = keep(labels.sample_records(left.select(*fields), size, self.seed), "sample")
-        b = None if right is None else keep(labels.sample_records(right.select(*fields), size, self.seed + 1), "sample")
+        # the side that is searched gives the index sample, and of that come the records that are looked at
+        context = keep(labels.sample_records((left if right is None else right).select(*fields), max(size, index_size), self.seed + 2), "index-sample")
+        a = keep(labels.sample_records(context if right is None else left.select(*fields), size, self.seed), "sample")
+        b = None if right is None else keep(labels.sample_records(context, size, self.seed + 1), "sample")
         predicates = self._candidate_predicates()
-        cover = rules.comparison_cover(a, predicates, self.id_col, keep, b)
+        cover = rules.comparison_cover(a, predicates, self.id_col, keep, b, context)
         weights: dict[tuple, float] = {}
         for pairs in cover.values():
             for p in pairs:
@@ -96,7 +98,7 @@ class _Matcher:
             w = np.array([weights[n] for n in names])
             order = np.argsort(-np.log(rng.random(len(names))) / w)[:CANDIDATES]
             names = [names[i] for i in sorted(order)]
-        self._a, self._b, self._keep, self._cover, self._predicate_list = a, b, keep, cover, predicates
+        self._a, self._b, self._context, self._keep, self._cover, self._predicate_list = a, b, context, keep, cover, predicates
         self._pool = names
         self._pool_rows = self._rows_of(names)
         self._by_id = {r[self.id_col]: r.asDict() for r in a.collect()}
@@ -106,6 +108,13 @@ class _Matcher:
         self._rng = random.Random(self.seed)
         self._fitted: Logistic | None = None
         self._rules: set[int] = set()
+        # labels to start from, which don't count in the final model: a random record with itself, and a random pair
+        ones, twos = ([by_id[i] for i in sorted(by_id)] for by_id in (self._by_id, self._by_id_b))
+        one = self._rng.choice(ones)
+        others = [r for r in twos if right is not None or r is not one] or twos
+        two = self._rng.choice(others)
+        self._seeds = {"match": [(one, one)] * 4, "distinct": [(one, two)]}
+        self._refit()
 
     def _rows_of(self, pairs: list[tuple]) -> np.ndarray:
         if not pairs:
@@ -156,8 +165,11 @@ class _Matcher:
         if self._pool is not None:
             self._refit()
 
-    def _training_table(self):
-        pairs = [(a, b, int(label == "match")) for label in ("match", "distinct") for a, b in self.training[label]]
+    def _labels(self, seeds: bool) -> dict[str, list]:
+        return {label: [*(self._seeds[label] if seeds else []), *self.training[label]] for label in ("match", "distinct")}
+
+    def _training_table(self, seeds: bool):
+        pairs = [(a, b, int(label == "match")) for label, own in self._labels(seeds).items() for a, b in own]
         spark = self._a.sparkSession
         fields = self.data_model.fields
         schema = ", ".join(["id int", *[f"`{f}` {self._a.schema[f].dataType.simpleString()}" for f in fields]])
@@ -165,19 +177,17 @@ class _Matcher:
         right = spark.createDataFrame([(i, *[b.get(f) for f in fields]) for i, (_, b, _) in enumerate(pairs)], schema)
         return pairs, left, right
 
-    def _features(self) -> tuple[np.ndarray, np.ndarray]:
-        pairs, left, right = self._training_table()
+    def _features(self, seeds: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        pairs, left, right = self._training_table(seeds)
         same = left.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
         rows = {r["id_a"]: r["d"] for r in self.data_model.rows(same, left, right, "id").collect()}
         return np.array([rows[i] for i in range(len(pairs))], dtype=float), np.array([y for _, _, y in pairs])
 
     def _refit(self) -> None:
-        if not self.training["match"] or not self.training["distinct"]:
-            return
-        x, y = self._features()
+        x, y = self._features(seeds=True)
         self._fitted = grid_search(x, y)
         matches = self._match_cover()
-        chosen = rules.learn(list(range(len(self._predicate_list))), matches, self._cover, len(self.training["match"]))
+        chosen = rules.learn(list(range(len(self._predicate_list))), matches, self._cover, len(self._labels(True)["match"]))
         self._rules = {c for c in chosen if isinstance(c, int)}
 
     def _match_cover(self) -> dict[int, frozenset[int]]:
@@ -185,22 +195,23 @@ class _Matcher:
         spark = self._a.sparkSession
         fields = self.data_model.fields
         schema = ", ".join(["id bigint", *[f"`{f}` {self._a.schema[f].dataType.simpleString()}" for f in fields]])
+        labelled = self._labels(True)["match"]
         sides = []
         for side, (place, sample) in enumerate(((0, self._a), (1, self._b if self._b is not None else self._a))):
-            own = spark.createDataFrame([(2 * i + side, *[pair[place].get(f) for f in fields]) for i, pair in enumerate(self.training["match"])], schema)
+            own = spark.createDataFrame([(2 * i + side, *[pair[place].get(f) for f in fields]) for i, pair in enumerate(labelled)], schema)
             context = sample.select(F.lit(None).cast("bigint").alias("id"), *fields)
             sides.append((own, context))
-        n = len(self.training["match"])
+        n = len(labelled)
         if self._b is None:
             both = sides[0][0].unionByName(sides[1][0])
             if index_parts(self._predicate_list):
                 context = sides[0][1].withColumn("id", F.monotonically_increasing_id() + 2 * n)
                 both = both.unionByName(context)
-            keys = self._keep(block_keys(both, self._predicate_list, "id", self._keep), "match-keys")
+            keys = self._keep(block_keys(both, self._predicate_list, "id", self._keep, context=self._context), "match-keys")
             return rules.match_cover(keys, keys, [(2 * i, 2 * i + 1) for i in range(n)])
         left, right = sides[0][0], sides[1][0]
         searched = right.unionByName(sides[1][1].withColumn("id", F.monotonically_increasing_id() + 2 * n))
-        a = self._keep(block_keys(left, self._predicate_list, "id", self._keep, searched=searched), "match-keys")
+        a = self._keep(block_keys(left, self._predicate_list, "id", self._keep, searched=searched, context=self._context), "match-keys")
         b = self._keep(block_keys(searched, self._predicate_list, "id", self._keep, is_target=True), "match-keys")
         return rules.match_cover(a, b, [(2 * i, 2 * i + 1) for i in range(n)])
 
@@ -214,7 +225,7 @@ class _Matcher:
         matches = self._match_cover()
         usable = {i for i, p in enumerate(self._predicate_list) if index_predicates or not index_parts([p])}
         matches = {k: v for k, v in matches.items() if k in usable}
-        self.predicates = rules.learn(self._predicate_list, matches, self._cover, len(self.training["match"]), recall, self.seed)
+        self.predicates = rules.learn(self._predicate_list, matches, self._cover, len(self._labels(True)["match"]), recall, self.seed)
         if not self.predicates:
             raise ValueError("no predicate covers a labelled match")
 
@@ -228,8 +239,8 @@ class _Matcher:
 class Deduplicator(_Matcher):
     """Finds the records of one table that stand for the same thing."""
 
-    def prepare_training(self, records: DataFrame, training_file: str | None = None, sample_size: int = SAMPLE_ONE) -> None:
-        self._prepare(records, None, sample_size)
+    def prepare_training(self, records: DataFrame, training_file: str | None = None, sample_size: int = SAMPLE_ONE, index_size: int = INDEXED) -> None:
+        self._prepare(records, None, sample_size, index_size)
         if training_file:
             self.read_training(training_file)
 
@@ -263,8 +274,8 @@ class RecordLink(_Matcher):
 
     modes = "Search"
 
-    def prepare_training(self, left: DataFrame, right: DataFrame, training_file: str | None = None, sample_size: int = SAMPLE_LINK) -> None:
-        self._prepare(left, right, sample_size)
+    def prepare_training(self, left: DataFrame, right: DataFrame, training_file: str | None = None, sample_size: int = SAMPLE_LINK, index_size: int = INDEXED) -> None:
+        self._prepare(left, right, sample_size, index_size)
         if training_file:
             self.read_training(training_file)
 

@@ -19,17 +19,17 @@ from concord.operators.predicates import Compound
 SEARCH_CALLS, FOREST_ROUNDS = 2500, 5000
 
 
-def comparison_cover(records: DataFrame, predicates: list, id_col: str, keep: Callable, other: DataFrame | None = None) -> dict[int, set[tuple]]:
-    """For each predicate the pairs of sampled records that share a key.  Predicates that pair nothing, or put all records in one block, are left out."""
+def comparison_cover(records: DataFrame, predicates: list, id_col: str, keep: Callable, other: DataFrame | None = None, context: DataFrame | None = None) -> dict[int, set[tuple]]:
+    """For each predicate the pairs of sampled records that share a key.  Predicates that pair nothing, or put all records in one block, are left out.  Searches count terms over the ``context`` records too."""
     n = records.count()
     if other is None:
-        blocks = keep(block_keys(records, predicates, id_col, keep), "cover-keys")
+        blocks = keep(block_keys(records, predicates, id_col, keep, context=context), "cover-keys")
         full = blocks.groupBy("predicate", "key").count().filter(F.col("count") >= n).select("predicate").distinct()
         right = blocks
         on = F.col("a.id") < F.col("b.id")
     else:
         m = other.count()
-        blocks = keep(block_keys(records, predicates, id_col, keep, searched=other), "cover-keys")
+        blocks = keep(block_keys(records, predicates, id_col, keep, searched=other, context=context), "cover-keys")
         right = keep(block_keys(other, predicates, id_col, keep, is_target=True), "cover-keys")
         sizes = blocks.groupBy("predicate", "key").agg(F.count("*").alias("x")).join(right.groupBy("predicate", "key").agg(F.count("*").alias("y")), ["predicate", "key"])
         full = sizes.filter((F.col("x") >= n) & (F.col("y") >= m)).select("predicate").distinct()

@@ -289,3 +289,30 @@ def test_marking_fits_on_all_labels(spark, people):
     # same in both fields, in none
     p = matcher._fitted.probabilities(np.array([[1.0, 1.0], [0.0, 0.0]]))
     assert p[0] > 0.5 > p[1]
+
+
+def test_training_counts_terms_over_the_index_sample_and_starts_from_seeds(spark):
+    rng = random.Random(17)
+    words = [f"w{min(rng.randrange(1, 30), rng.randrange(1, 30))}" for _ in range(900)]
+    names = sorted({" ".join(words[3 * i : 3 * i + 3]) for i in range(300)})
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    left, right = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    link = RecordLink([V.text("name")])
+    link.prepare_training(left, right, sample_size=30)
+    assert link._a.count() == link._b.count() == 30 and link._context.count() == right.count()
+    predicates = [(i, p) for i, p in enumerate(link._predicate_list) if isinstance(p, Index) and p.family == "TfidfText"]
+    sampled = {(a, b) for a in link._by_id for b in link._by_id_b}
+    some = 0
+    for i, p in predicates:
+        docs = [documents(x, "name", "TfidfText", "id").select("doc_id", "doc").dropDuplicates(["doc_id"]) for x in (right, left)]
+        whole = {(r["query_id"], r["doc_id"]) for r in similarity.tfidf_neighbours(*docs, p.threshold).collect()}
+        assert link._cover.get(i, set()) == whole & sampled
+        some += len(whole & sampled)
+    assert some
+    # fitted and with rules before the first answer; the answers alone are the training data
+    assert link._fitted is not None and link._rules and link.training == {"match": [], "distinct": []}
+    link.uncertain_pairs()
+    dedup = Deduplicator([V.exact("name")])
+    dedup.prepare_training(df, sample_size=40, index_size=70)
+    assert dedup._a.count() == 40 and dedup._context.count() == 70
+    assert dedup._a.join(dedup._context, "id", "left_anti").isEmpty() and dedup._fitted.probabilities(np.array([[1.0]]))[0] > 0.5
