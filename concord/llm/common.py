@@ -35,12 +35,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+def stashed(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write a DataFrame to the shared folder and read it back, and where it is: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    return stashed(df, label)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stash that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def slices(batch, column: int, rows: int = 512, size: int = 4 << 20):
+    """Parts of an Arrow batch of at most that many rows, and of that many bytes in the column unless one row has more."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.column(column).slice(at, n).nbytes > size:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
