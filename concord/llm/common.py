@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.storage import shared_dir
+
 #: White space and letters that the operators treat specially: ASCII only.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        found = context._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="concord-"))
-            found = context._jsc.sc().getCheckpointDir()
-        base = found.get()
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused path in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/concord/{label}-{uuid.uuid4().hex}"
@@ -53,6 +44,24 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(function, *forget):
+    """A function of Arrow batches that gives its memory back at its end, as Python workers wait for later tasks; ``forget`` is called before."""
+
+    @wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def slices(batch, column: int, rows: int = 512, size: int = 4 << 20):
     """Parts of an Arrow batch of at most that many rows, and of that many bytes in the column unless one row has more."""
     at = 0

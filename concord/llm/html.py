@@ -1,11 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags.  The first pass looks at each
-block alone: its length, the density of stop words, the density of links, and
-the kind of container it is in.  It decides good or bad where that is clear and
-leaves short blocks and blocks of middling density open.  The second pass gives
-those the label of their nearest decided neighbour.  What a container sets aside
-says nothing about its neighbours.
+block alone: the density of stop words, its length and the density of links.  It
+decides good or bad where that is clear and leaves short blocks and blocks of
+middling density open.  The second pass gives those the label of their nearest
+decided neighbour.  Containers are one more input: what they set aside is bad and
+says nothing about its neighbours; in an article element shorter blocks and more
+links will do, and neighbours are looked for in the same article.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from concord.llm.common import text_or_empty
+from concord.llm.common import slices, text_or_empty
 from concord.llm.words import STOP_WORDS
 from concord.shipping import ship
 
@@ -38,6 +39,13 @@ HINTS = frozenset(
     sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar widget widgets alert banners""".split()
 )
 
+# Words that only say where or what part of something an element is, and words before a hint that make it a layout's name.
+PARTS = frozenset(
+    """area bar body bottom box button buttons container content form group heading icon icons inner item items left link links list main
+    outer overlay panel primary right row secondary section slot sticky text title top unit wrap wrapper""".split()
+)
+LAYOUT = frozenset("and has no with without".split())
+
 #: Shortest block that is judged alone, and from where a good block is sure, in characters.
 SHORT, LONG = 70, 200
 #: Stop words per word, from which a block is good or open; link words per word, from which it is bad.
@@ -53,6 +61,14 @@ _CLOSE = {name: re.compile(rf"</{name}\s*>?", re.IGNORECASE) for name in RAW}
 GOOD, BAD, OPEN = 1, -1, 0
 
 
+def _says_aside(name: str) -> bool:
+    """Whether a class, id or role is a hint, ends in one, or is one with words for its parts: site-footer, sidebar-left; not with-sidebar, share-holders."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    while words and words[-1] in PARTS and words[-1] not in HINTS:
+        words.pop()
+    return bool(words) and words[-1] in HINTS and not LAYOUT & set(words[:-1])
+
+
 def _set_aside(attributes: str) -> bool:
     """Whether class, id, role or style say that an element isn't part of the article."""
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -62,7 +78,7 @@ def _set_aside(attributes: str) -> bool:
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
-        elif name in ("class", "id", "role") and any(w.lower() in HINTS for w in _WORDS.findall(value)):
+        elif name in ("class", "id", "role") and any(map(_says_aside, value.split())):
             return True
     return False
 
@@ -70,7 +86,7 @@ def _set_aside(attributes: str) -> bool:
 class _Block:
     __slots__ = ("text", "links", "aside", "article")
 
-    def __init__(self, text: str, links: int, aside: bool, article: bool):
+    def __init__(self, text: str, links: int, aside: bool, article: int):
         self.text, self.links, self.aside, self.article = text, links, aside, article
 
 
@@ -79,10 +95,10 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # of open containers: name, set aside, article
+    stack: list[tuple[str, bool, int]] = []  # of open containers: name, set aside, number of the article or 0
     dropped: list[tuple[str, int]] = []  # open elements without text of the page: name, containers around it
-    in_link = 0
-    aside = article = False
+    in_link = articles = article = 0
+    aside = False
 
     def end_block():
         if parts:
@@ -120,19 +136,18 @@ def blocks(page: str) -> list[_Block]:
         if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
-            elif name in DROPPED:
-                if any(x[0] == name for x in dropped):
-                    while dropped.pop()[0] != name:
-                        pass
+            if any(x[0] == name for x in dropped):
+                while dropped.pop()[0] != name:
+                    pass
             elif name in BLOCKS:
                 end_block()
                 in_link = 0
                 if any(x[0] == name for x in stack):
                     while stack.pop()[0] != name:
                         pass
-                    aside, article = stack[-1][1:] if stack else (False, False)
-                    # the end tag of an option may be missing
-                    while dropped and dropped[-1][0] == "option" and dropped[-1][1] > len(stack):
+                    aside, article = stack[-1][1:] if stack else (False, 0)
+                    # the end of a container is the end of what is open in it
+                    while dropped and dropped[-1][1] > len(stack):
                         dropped.pop()
             continue
         if name in RAW:
@@ -141,8 +156,6 @@ def blocks(page: str) -> list[_Block]:
             continue
         if name == "br":
             add(" ")
-        elif name == "a":
-            in_link = 1
         elif name in DROPPED:
             if name == "option" and dropped and dropped[-1][0] == "option":
                 dropped.pop()
@@ -156,13 +169,20 @@ def blocks(page: str) -> list[_Block]:
             in_link = 0
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-                aside, article = stack[-1][1:] if stack else (False, False)
+                aside, article = stack[-1][1:] if stack else (False, 0)
             if name not in VOID and name not in ("html",):
-                aside = aside or name in ASIDE or _set_aside(attributes)
-                article = article or name in ARTICLE
+                # an article's own header has its title
+                aside = aside or (name in ASIDE and not (name == "header" and article)) or _set_aside(attributes)
+                if name in ARTICLE and not any(x[0] == "article" for x in stack):
+                    articles += 1
+                    article = articles
                 stack.append((name, aside, article))
-        elif attributes and name not in VOID and name == "span" and _set_aside(attributes):
-            add(" ")
+        elif name not in VOID:
+            if (dropped and dropped[-1][0] == name) or (attributes and _set_aside(attributes)):
+                add(" ")
+                dropped.append((name, len(stack)))
+            if name == "a":
+                in_link = 1
     end_block()
     return out
 
@@ -171,49 +191,51 @@ def _alone(block: _Block) -> int:
     """First pass: what a block is by itself."""
     words = block.text.split()
     links = block.links / len(words)
-    if block.aside:
+    if block.aside or links > (LINKS_IN_ARTICLE if block.article and len(words) > 1 else LINKS if not block.article else 1):
         return BAD
-    if block.article:
-        return BAD if links > LINKS_IN_ARTICLE and len(words) > 1 else GOOD if len(block.text) >= SHORT else OPEN
-    if links > LINKS or "\xa9" in block.text:
+    if not block.article and ("\xa9" in block.text or (block.links and len(block.text) < SHORT)):
         return BAD
-    if len(block.text) < SHORT:
-        return BAD if block.links else OPEN
     stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-    if stops >= STOPS_HIGH:
-        return GOOD if len(block.text) >= LONG else OPEN
-    # long text without links may be in a language whose stop words aren't known
-    return OPEN if stops >= STOPS_LOW or (len(block.text) >= LONG and not block.links) else BAD
+    if stops >= STOPS_HIGH and len(block.text) >= (SHORT if block.article else LONG):
+        return GOOD
+    # text without links may be in a language whose stop words aren't known, or a table
+    return OPEN if stops >= STOPS_LOW or block.article or not block.links or len(block.text) < SHORT else BAD
 
 
-def _nearest(labels: list[int]) -> list[int]:
-    """For each place the label of the nearest decided one; bad where two are as near and differ, open if there is none."""
+def _nearest(labels: list[int], tie: int) -> list[int]:
+    """For each place the label of the nearest decided one; ``tie`` where two are as near and differ, open if there is none."""
     near = [(len(labels) + 1, OPEN)] * len(labels)
     for places in (range(len(labels)), reversed(range(len(labels)))):
         label, away = OPEN, 0
         for i in places:
             label, away = (labels[i], 0) if labels[i] else (label, away + 1)
             if label:
-                near[i] = min(near[i], (away, label))
+                near[i] = min(near[i], (away, label), key=lambda x: (x[0], x[1] != tie))
     return [label for _, label in near]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by a line break; empty if there is none.
 
-    An open block in an article element is good; another takes the label of the
-    nearest decided block outside set-aside containers, and is bad if there is
-    none.  Where the article elements hold most of the good text, what is
+    An open block takes the label of the nearest decided block outside set-aside
+    containers, in an article element of the good ones of that article; it is bad if there is none, but good in an article
+    element.  An article element in which no block is good by itself goes, if another has one.
+    Where the article elements hold most of the good text, what is
     outside them goes.  A page with neither an article element nor a good block
     gives the open blocks.
     """
     found = blocks(page or "")
     labels = [_alone(b) for b in found]
-    body = [i for i, b in enumerate(found) if not b.aside]
+    sure = {b.article for b, label in zip(found, labels, strict=True) if label == GOOD and b.article}
+    if sure:
+        labels = [BAD if b.article and b.article not in sure else label for b, label in zip(found, labels, strict=True)]
     final = list(labels)
-    for i, near in zip(body, _nearest([labels[i] for i in body]), strict=True):
-        if final[i] == OPEN:
-            final[i] = GOOD if found[i].article else near or BAD
+    for article in sorted({b.article for b in found}):
+        # a list of links inside an article says nothing about what stands beside it
+        body = [i for i, b in enumerate(found) if not b.aside and (not article or (b.article == article and labels[i] != BAD))]
+        for i, near in zip(body, _nearest([labels[i] for i in body], GOOD if article else BAD), strict=True):
+            if final[i] == OPEN and found[i].article == article:
+                final[i] = near or (GOOD if article else BAD)
     if GOOD not in final and not any(b.article for b in found):
         final = [GOOD if label == OPEN else label for label in labels]
     good = [b for b, label in zip(found, final, strict=True) if label == GOOD]
@@ -236,8 +258,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, n, 256):
                 text = pa.array([main_text(h) for h in some.column(n).to_pylist()], type=pa.string())
                 yield pa.RecordBatch.from_arrays([*some.columns[:n], text], names=[*keep, "text"])
 
