@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import SPACES, new_path, stash, text_or_empty
+from concord.llm.common import SPACES, new_path, slices, stash, text_or_empty, tidy
 from concord.shipping import ship
 
 #: Shortest key that counts, in code points.
@@ -38,16 +38,15 @@ def line_key(line: bytes, least: int) -> bytes | None:
 def _hasher(least: int):
     def hashes(batches):
         for batch in batches:
-            texts = batch.column(1)
-            ids = np.asarray(batch.column(0))
-            for at in range(0, len(ids), 512):
+            for some in slices(batch, 2):
                 counts, found = [], []
-                for text in texts.slice(at, 512).to_pylist():
+                for text in some.column(2).to_pylist():
                     own = {line_key(line, least) for line in text.encode("utf-8", "surrogatepass").split(b"\n")}
                     own.discard(None)
                     counts.append(len(own))
                     found += own
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 512], counts)), pa.array(found, type=pa.binary())], names=["doc", "h"])
+                ids = [pa.array(np.repeat(np.asarray(c), counts)) for c in some.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(found, type=pa.binary())], names=["doc", "row", "h"])
 
     return hashes
 
@@ -87,16 +86,15 @@ class LineRuns:
 def _dropper(least: int):
     def drop(batches):
         for batch in batches:
-            texts, lost = batch.column(1), batch.column(2)
-            for at in range(0, len(texts), 256):
+            for some in slices(batch, 1, 256):
                 out: list[tuple] = []
-                for text, hashes in zip(texts.slice(at, 256).to_pylist(), lost.slice(at, 256).to_pylist(), strict=True):
+                for text, hashes in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
                     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
                     gone = set(hashes or ())
                     kept = [x for x in lines if line_key(x, least) not in gone] if gone else lines
                     out.append((len(lines), len(lines) - len(kept), b"\n".join(kept).decode("utf-8", "surrogatepass")))
                 lines, dropped, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(lines, type=pa.int64()), pa.array(dropped, type=pa.int64()), pa.array(kept, type=pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lines, type=pa.int64()), pa.array(dropped, type=pa.int64()), pa.array(kept, type=pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
 
     return drop
 
@@ -112,15 +110,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     order = F.coalesce("doc_id", F.lit(_LAST))
-    lines = stash(rows.select(order.alias("doc"), "text").mapInArrow(_hasher(least), "doc bigint, h binary"), "lines")
+    # rows of one document are told apart by their text, so that each is joined with its own lines only
+    row = F.xxhash64("text")
+    lines = stash(rows.select(order.alias("doc"), row.alias("row"), "text").mapInArrow(tidy(_hasher(least)), "doc bigint, row bigint, h binary"), "lines")
     cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02)})
     runs = LineRuns(spark, fanout)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = lines if low is None else lines.filter(F.col("doc") > low)
         runs.add(part if high is None else part.filter(F.col("doc") <= high))
-    lost = lines.join(runs.all().hint("merge"), "h").filter("owner < doc").groupBy("doc").agg(F.collect_list("h").alias("lost"))
-    joined = rows.join(lost, order == lost["doc"], "left").select("doc_id", "text", "lost")
-    return joined.mapInArrow(_dropper(least), "doc_id bigint, n_lines bigint, n_dropped bigint, text string")
+    lost = lines.join(runs.all().hint("merge"), "h").filter("owner < doc").groupBy("doc", "row").agg(F.collect_set("h").alias("lost"))
+    joined = rows.join(lost, (order == lost["doc"]) & (row == lost["row"]), "left").select("doc_id", "text", "lost")
+    return joined.mapInArrow(tidy(_dropper(least)), "doc_id bigint, n_lines bigint, n_dropped bigint, text string")
 
 
 ORACLE = r"""
