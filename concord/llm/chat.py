@@ -70,7 +70,12 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
 
 def read_chats(chats: DataFrame, *more: str) -> DataFrame:
-    """What format_chats wrote, read back: (conv_id, turns array of (role, text), loss_text), and more columns as they are."""
+    """What format_chats wrote, read back: (conv_id, turns array of (role, text), loss_text), and more columns as they are.
+
+    Null roles and texts come back as empty; a null id stays null; repeated rows
+    are read each; a conversation without learnt turns has an empty loss_text;
+    a table without rows gives none; other columns are left out unless named.
+    """
 
     def turns(block):
         halves = _split(block, TEXT)

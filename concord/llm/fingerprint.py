@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import partitions, text_or_empty
+from concord.llm.common import partitions, slices, text_or_empty
 from concord.llm.shingles import shingle_sets
 from concord.shipping import ship
 
@@ -65,16 +65,17 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """For every row: (doc_id, n_chars, fingerprint), where equal texts have equal fingerprints.
 
     Null texts count as empty, and a text without words has an empty
-    fingerprint.  No shuffle.
+    fingerprint; a null id stays null; repeated rows have a fingerprint each; a
+    table without rows gives none; other columns are ignored.  No shuffle.
     """
 
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for some in (x for batch in batches for x in slices(batch, 1)):
+            texts = some.column(1).to_pylist()
             prints = [to_text(s) for s in sketches(texts, k, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], type=pa.int64()), pa.array(prints, type=pa.string())], names=["doc_id", "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(t) for t in texts], type=pa.int64()), pa.array(prints, type=pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_chars bigint, fingerprint string")
@@ -84,7 +85,9 @@ def merge_fingerprints(prints: DataFrame, key: str, column: str = "fingerprint",
     """(key, fingerprint): the sketch of everything under a key.
 
     Each task first merges what it reads, so that a key of any size leaves one
-    sketch per task, and no group is collected.
+    sketch per task, and no group is collected.  Null fingerprints count as
+    empty; rows with a null key belong together; repeats change nothing; a table
+    without rows gives none; the key may have any name but ``fingerprint``.
     """
 
     ship(prints.sparkSession)
@@ -105,6 +108,8 @@ def merge_fingerprints(prints: DataFrame, key: str, column: str = "fingerprint",
         held.clear()
         return out
 
+    if key == "fingerprint":
+        raise ValueError("the key needs another name than the result's column")
     kind = prints.schema[key].dataType.simpleString()
     rows = prints.select(F.col(key), F.col(column).alias("fingerprint"))
     schema = f"`{key}` {kind}, fingerprint string"

@@ -65,13 +65,21 @@ def mixing_rates(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: i
 
 
 def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns."""
+    """The rows of docs, each as often as the mix takes it, with all their columns.
+
+    Null and empty texts have size 0 and are taken at their source's rate; rows
+    with a null source form a source of their own; rows that repeat an id draw
+    alike; a source without words gives no rows, and so does a table without
+    rows; columns of any name are carried along.
+    """
     sizes = docs.select(docs[source_col].cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"))
-    targets = source_targets(sizes, weights, share, most).select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
-    targets = stash(targets, "rates")
-    joined = docs.join(targets, docs[source_col].cast("string").eqNullSafe(targets["_of"]))
-    copies = F.floor("_rate") + F.when(uniform(seed, id_col) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[docs[c] for c in docs.columns])
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = stash(source_targets(sizes, weights, share, most).select("source", rate.alias("rate")), "rates")
+    # the table's own columns go along as one struct, so that none can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].cast("string").alias("of"), uniform(seed, id_col).alias("draw"))
+    joined = rows.join(targets, rows["of"].eqNullSafe(targets["source"]))
+    copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
 
 
 ORACLE = r"""

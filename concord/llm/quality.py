@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import stash, text_or_empty
+from concord.llm.common import slices, stash, text_or_empty, tidy
 from concord.llm.words import STOP_WORDS
 from concord.shipping import ship
 
@@ -119,12 +119,11 @@ class Discriminant:
 
 def _vectors(batches):
     for batch in batches:
-        texts = batch.column(1)
-        for at in range(0, batch.num_rows, 512):
-            found = [statistics(t) for t in texts.slice(at, 512).to_pylist()]
+        for some in slices(batch, 1):
+            found = [statistics(t) for t in some.column(1).to_pylist()]
             flat = pa.array(np.asarray(found).ravel())
             offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "vector"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "vector"])
 
 
 def _class_sums(batches):
@@ -144,7 +143,7 @@ def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, vector) for every row, stored so that texts are read once."""
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return stash(rows.mapInArrow(_vectors, "doc_id bigint, vector array<double>"), "vectors")
+    return stash(rows.mapInArrow(tidy(_vectors), "doc_id bigint, vector array<double>"), "vectors")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -194,7 +193,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
+    """The rows of docs whose score reaches the threshold, with all their columns.
+
+    Null texts count as empty and are scored as such; rows with a null id are
+    scored and never learnt from; rows that repeat stay or go each by itself;
+    without labels every score is 0.5; a table without rows gives none; columns
+    of any name are carried along.
+    """
     vectors = document_vectors(docs, id_col, text_col)
     model = fit(vectors, labels, label_col, id_col)
     names = docs.columns
@@ -202,10 +207,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in slices(batch, n):
                 x = np.asarray([statistics(t) for t in some.column(n).to_pylist()])
                 good = pa.array(model.scores(x) >= threshold)
                 yield pa.RecordBatch.from_arrays([c.filter(good) for c in some.columns[:n]], names=names)
 
-    return docs.select("*", text_or_empty(text_col).alias("_text")).mapInArrow(run, docs.schema)
+    rows = docs.select(*[docs[c] for c in names], text_or_empty(text_col)).toDF(*[f"c{i}" for i in range(n + 1)])
+    return rows.mapInArrow(tidy(run), docs.schema)
