@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import remove, slices, stash, stashed, text_or_empty
+from concord.llm.common import remove, slices, stash, stashed, text_or_empty, tidy
 from concord.llm.shingles import shingle_sets, signed
 from concord.operators.graph import connected_components
 from concord.shipping import ship
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return df
 
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    sketches = keep(rows.mapInArrow(_sketcher(width, k), "doc_id bigint, n bigint, key binary, sketch array<bigint>"), "sketches")
+    sketches = keep(rows.mapInArrow(tidy(_sketcher(width, k)), "doc_id bigint, n bigint, key binary, sketch array<bigint>"), "sketches")
     linkable = sketches.filter("n > 0 and doc_id is not null")
     classes = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # a number stands for the class from here on, as the rows of the lists should be narrow
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # full sets of the classes that are in some list of several
     wanted = keep(postings.select("c", "rep").distinct().join(classes.select("c", "key"), "c"), "wanted")
     texts = rows.join(wanted.select("rep").distinct(), rows["doc_id"] == F.col("rep"), "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(width), "key binary, hashes array<bigint>").join(wanted.select("key", "c"), "key")
+    sets = texts.mapInArrow(tidy(_setter(width)), "key binary, hashes array<bigint>").join(wanted.select("key", "c"), "key")
     sets = keep(sets.groupBy("key").agg(F.first("c").alias("c"), F.first("hashes").alias("hashes")).select("c", "hashes"), "sets")
 
     def attached(pairs, found):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm import simple8b
-from concord.llm.common import partitions, text_or_empty
+from concord.llm.common import partitions, slices, text_or_empty, tidy
 from concord.llm.tokens import encoder
 from concord.shipping import ship
 
@@ -48,9 +48,8 @@ def _writer(path: str, end_id: int, block_ids: int):
 
         size = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(ids), 2048):
-                for doc, coded in zip(ids[k : k + 2048], coder.encode(texts.slice(k, 2048)), strict=True):
+            for some in slices(batch, 1, 2048):
+                for doc, coded in zip(some.column(0).to_pylist(), coder.encode(some.column(1)), strict=True):
                     docs.append(doc)
                     held.append(coded + end)
                     lengths.append(len(held[-1]) // 4)
@@ -74,29 +73,30 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, id
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.repartitionByRange(shards or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_writer(tokenizer, end_id, block_ids), BLOCKS).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(tidy(_writer(tokenizer, end_id, block_ids), lambda: encoder(tokenizer).forget()), BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = simple8b.decode(np.frombuffer(row["words"], dtype="<u8"), row["n_ids"]).astype("<u4").tobytes()
-            lengths = row["doc_lengths"]
-            ends = np.cumsum(lengths, dtype=np.int64)
-            starts = (ends - lengths).tolist()
-            columns = [row["doc_ids"], [row["shard"]] * len(lengths), [row["before"] + s for s in starts], lengths, [ids[4 * s : 4 * e] for s, e in zip(starts, ends.tolist(), strict=True)]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(columns, _TOKEN.types, strict=True)], schema=_TOKEN)
+    for row in (x for batch in batches for at in range(batch.num_rows) for x in batch.slice(at, 1).to_pylist()):
+        ids = simple8b.decode(np.frombuffer(row["words"], dtype="<u8"), row["n_ids"]).astype("<u4").tobytes()
+        lengths = row["doc_lengths"]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        starts = (ends - lengths).tolist()
+        columns = [row["doc_ids"], [row["shard"]] * len(lengths), [row["before"] + s for s in starts], lengths, [ids[4 * s : 4 * e] for s, e in zip(starts, ends.tolist(), strict=True)]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(columns, _TOKEN.types, strict=True)], schema=_TOKEN)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document; start counts all ids before it in the file, ids are uint32 bytes.
 
-    A window adds up the shards' totals: as many rows as there are shards.
+    A document without text has its end id alone; null ids stay null and come first;
+    repeated rows are documents each; a file without blocks gives no rows. A
+    block is decoded by itself. A window adds up the shards' totals: as many rows as there are shards.
     """
     ship(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("shard_start"))
-    tokens = blocks.mapInArrow(_read, TOKENS)
+    tokens = blocks.mapInArrow(tidy(_read), TOKENS)
     return tokens.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids")

@@ -21,11 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each of the two generations of a Python worker's piece cache.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 50_000
 #: Longest piece that is cached, in characters.
 CACHE_CHARS = 64
 #: Pieces encoded as one text, texts that share a search for new pieces.
-JOINED, TOGETHER, TOGETHER_BYTES = 100, 2048, 16 << 20
+JOINED, TOGETHER, TOGETHER_BYTES = 100, 2048, 4 << 20
 _UNSAFE = r" (?:[\s\x0b]|\z)|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -59,6 +59,10 @@ class TextEncoder:
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the cached pieces, as an idle worker would hold them for as long as it lives."""
+        self._new, self._old = {}, {}
+
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

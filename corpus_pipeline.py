@@ -15,22 +15,27 @@ from concord.llm.packing import pack_sequences
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its threshold or above. Null and empty texts are scored too; a null id is scored and never learnt from; repeated rows go each by itself; no rows give none; more columns stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id. Null texts equal empty ones; a row with a null id stays only if no other has its text; rows that share an id go together; no rows give none; more columns stay."""
     return drop_exact_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest id. Texts without words and rows with a null id stay; rows that share an id go together; no rows give none; more columns stay."""
     return drop_near_copies(docs, width=5, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks. A null source is a source; null texts have size 0; rows that share an id draw alike; no rows give none; more columns stay."""
     return mix_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences and their ids. A null text is the end id alone; a null id stays null; repeated rows are packed each; no rows give none; other columns are left out."""
     pieces = pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 

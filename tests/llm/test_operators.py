@@ -89,10 +89,60 @@ def test_packing(docs, empty):
 
 
 def test_sum_of_squares_choice():
-    levels = packing.SumOfSquares(10)
-    assert levels.place(6, "a") is None and levels.place(6, "b") is None
-    assert levels.place(4, "c") == ["b", "c"]
-    assert levels.open == 1 and levels.flush() == [["a"]]
+    levels = packing.SumOfSquares(10, lambda piece, n: (piece[:n], piece[n:]), 1.0)
+    assert levels.place(6, "aaaaaa") == []
+    assert levels.place(6, "bbbbbb") == [["aaaaaa", "bbbb"]]  # two windows of a level would count 4, one of level 2 counts 1
+    assert levels.place(8, "cccccccc") == [["bb", "cccccccc"]]
+    assert levels.place(3, "ddd") == [] and levels.place(4, "eeee") == []
+    assert levels.drain() == [["ddd", "eeee"]] and levels.drain() == []
+
+
+def test_sum_of_squares_against_all_choices():
+    """Every placement is the one that a search over all levels and all single cuts finds, and open windows stay few."""
+    rng, top, price = random.Random(8), 12, 1.0
+    levels = packing.SumOfSquares(top, lambda piece, n: (piece[:n], piece[n:]), price)
+
+    def counts():
+        return [len(w) if 0 < level < top else 0 for level, w in enumerate(levels.windows)]
+
+    def change(moves):
+        n = counts()
+        before = sum(x * x for x in n)
+        for source, target in moves:
+            if source and not n[source]:
+                return None
+            n[source] -= bool(source)
+            n[target] += target < top
+        return sum(x * x for x in n) - before
+
+    tokens, filled = 0, []
+    for i in range(3000):
+        size = rng.randrange(1, top)
+        whole = min(x for level in range(top - size + 1) if (x := change([(level, level + size)])) is not None)
+        cuts = [x for level in range(top - size + 1, top) for rest in [size - (top - level)] for then in [(0, rest), (top - rest, top)] if (x := change([(level, top), then])) is not None]
+        was = sum(x * x for x in counts())
+        found = levels.place(size, str(i % 10) * size)
+        after = sum(x * x for x in counts())
+        if not cuts or min(cuts) + price >= whole:
+            assert after - was == whole
+        else:
+            assert after - was < whole and found
+        tokens += size
+        filled += found
+        assert sum(counts()) <= 2 * top
+    assert all(sum(map(len, w)) == top for w in filled)
+    assert tokens == len(filled) * top + sum(len(p) for w in levels.drain() for p in w)
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_few_tokens_are_placed_at_the_end_of_a_stream(n):
+    rng = np.random.default_rng(3)
+    levels = packing.SumOfSquares(1024, lambda piece, k: (piece[:k], piece[k:]), packing.CUT_PRICE)
+    sizes = np.minimum(1 + rng.lognormal(5.5, 1.2, n).astype(int), 30_000)
+    for size in sizes.tolist():
+        if size % 1024:
+            levels.place(size % 1024, range(size % 1024))
+    assert sum(len(p) for w in levels.drain() for p in w) < 0.02 * sizes.sum()
 
 
 def test_token_file(spark, docs, empty, tmp_path):
@@ -247,6 +297,45 @@ def test_line_dedup(docs, empty):
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_of_rows_without_an_id(spark):
+    """Such rows count as one document; each has only its own lines to lose."""
+    own = [f"a line of row {i} alone" for i in range(30)]
+    rows = [(1, "the line that all have")] + [(None, f"the line that all have\n{x}") for x in own] + [(None, f"the line that all have\n{own[0]}")]
+    got = linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted([*own, own[0]])
+
+
+def test_clashing_names_and_empty_tables(spark, docs, empty):
+    names = ["_of", "_rate", "_copy", "row", "of", "draw", "rate", "_text", "_lost_id", "doc", "kept", "c", "rep", "v", "hashes", "size"]
+    odd = docs.withColumns({name: F.lit(name) for name in names})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int").withColumn("text", F.lit("x"))
+    for keep in (lambda d: quality.keep_good(d, labels), exactdedup.drop_exact_copies, mixing.mix_documents, neardup.drop_near_copies):
+        kept = keep(odd)
+        assert kept.columns == odd.columns and kept.filter("row <> 'row' or c <> 'c'").isEmpty() and not kept.isEmpty()
+        assert keep(empty).count() == 0
+    prints = fingerprint.fingerprint_documents(empty)
+    assert fingerprint.merge_fingerprints(prints, "doc_id").count() == 0
+    assert chat.read_chats(chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn int, role string, text string"))).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes beside short ones, by every operator over documents."""
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))
+    edited = long.replace("w7 ", "x ", 3)
+    rows = [(1, long, "s"), (2, edited, "s"), (3, "short text of a few words only", "s"), (4, long, "t")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 4).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert {r["doc_id"]: r["keep_id"] for r in exactdedup.exact_groups(df).collect()} == {1: 4, 2: 2, 3: 3, 4: 4}
+    prints = {r["doc_id"]: fingerprint.from_text(r["fingerprint"]) for r in fingerprint.fingerprint_documents(df).collect()}
+    assert fingerprint.resemblance(prints[1], prints[4]) == 1 and fingerprint.resemblance(prints[1], prints[2]) > 0.9
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.drop_repeated_lines(df).collect()} == {1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (1, 1)}
+    pieces = packing.pack_sequences(df, BYTES).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert all(r["n"] == r["all"] for r in pieces) and len(pieces) == 4
+    assert mixing.mixing_rates(df).filter("size = 300000").count() == 3
+    assert main_text(f"<article><p>{long}</p></article>") == long
+
+
 def test_fingerprints(spark, docs, empty):
     rows = [r for r in texts_of(docs.dropDuplicates(["doc_id"])) if r[0] is not None]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -362,6 +451,45 @@ def test_html_options_without_end_tags():
         assert main_text(f"{menu}<article><p>{long}</p></article>") == long.strip(), menu
 
 
+LONG_TEXT = "This is the text of the page that we want to have, and it is not so short. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header><h1>Title</h1></header><p>{0}</p></article>", "Title\n{0}"),
+        ("<header>Site of the day and the week</header><article><p>{0}</p></article>", "{0}"),
+        ("<div class='article-with-sidebar'><article><p>{0}</p></article><div class='sidebar-left'>{0}</div></div>", "{0}"),
+        ("<article><p id='search-engines-history'>{0}</p><p class='share-holders'>{0}</p><div class='share-buttons'>{0}</div></article>", "{0}\n{0}"),
+        ("<article><p>Before <span class='advert'>buy <span>it</span> now</span> after. {0}</p></article>", "Before after. {0}"),
+        ("<article><p>One <a class='share' href=x>Share</a> two. {0}</p></article>", "One two. {0}"),
+        ("<article><div><button>Press</div><p>{0}</p></article>", "{0}"),
+        ("<article><p>{0}</p></article><article><h2>Other story</h2><p>A teaser.</p></article>", "{0}"),
+        ("<article><h2>First</h2><p>{0}</p></article><article><h2>Second</h2><p>{0}</p></article>", "First\n{0}\nSecond\n{0}"),
+        ("<article><p>{0}</p><ul><li><a href=a>More on this here</a></li></ul><p>A short end.</p></article>", "{0}\nA short end."),
+        ("<div><p>{0}</p><p>A short one.</p><p>Links</p><p><a href=a>All of</a> the links</p></div><footer>us</footer>", "{0}\nA short one."),
+        ("<p>Kurz und gut Wort Satz Zahl</p>", "Kurz und gut Wort Satz Zahl"),
+    ],
+)
+def test_html_rules(page, want):
+    text = LONG_TEXT.strip()
+    assert main_text(page.replace("{0}", text)) == want.replace("{0}", text)
+
+
+def test_html_without_article_elements():
+    """Density, length and neighbours find the article too where no element names it."""
+    from pyarrow import parquet
+
+    pages = parquet.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    whole = lost = more = 0
+    for page in pages:
+        named, bare = (main_text(x).split("\n") for x in (page, re.sub(r"</?article\b[^>]*>", "", page or "")))
+        whole += len(named)
+        lost += sum(x not in bare for x in named)
+        more += sum(x not in named for x in bare)
+    assert whole > 1000 and lost <= 0.01 * whole and more <= 0.01 * whole
+
+
 def test_the_packing_stage_keeps_the_tokens(spark, docs):
     import corpus_pipeline
 
