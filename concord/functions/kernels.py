@@ -311,16 +311,25 @@ def cluster_component(ids: list, pairs: list[tuple[int, int, float]] | tuple[np.
     if n == 2:
         score = float(scores[0])
         return [(list(ids), [score, score])] if score > threshold else []
-    d = np.ones((n, n), dtype=np.float32)
-    d[left, right] = d[right, left] = np.float32(1) - np.asarray(scores, dtype=np.float32)
-    merges = centroid_linkage(d.astype(np.float64))
-    squared = d * d
+    left, right = np.minimum(left, right), np.maximum(left, right)
+    last = len(left) - 1 - np.unique((left * np.int64(n) + right)[::-1], return_index=True)[1]  # of pairs that repeat
+    left, right = left[last], right[last]
+    edges = np.float32(1) - np.asarray(scores, dtype=np.float32)[last]
+    d = np.ones((n, n))  # the only matrix; linkage overwrites it
+    d[left, right] = d[right, left] = edges
+    clusters = flat_cut(centroid_linkage(d), n, 1 - threshold)
+    del d
+    of = np.empty(n, dtype=np.int64)
+    for number, cluster in enumerate(clusters):
+        of[cluster] = number
+    # absent pairs count 1 each; what the edges inside a cluster differ from that is added up by member
+    inside = of[left] == of[right]
+    gain = (edges * edges).astype(np.float64)[inside] - 1
+    total = np.bincount(left[inside], gain, n) + np.bincount(right[inside], gain, n)
     out = []
-    for cluster in flat_cut(merges, n, 1 - threshold):
-        if len(cluster) < 2:
-            continue
-        inside = squared[np.ix_(cluster, cluster)].astype(np.float64)
-        np.fill_diagonal(inside, 0.0)
-        confidence = 1 - np.sqrt(inside.sum(1) / (len(cluster) - 1))
-        out.append(([ids[i] for i in cluster], confidence.tolist()))
+    for cluster in clusters:
+        if len(cluster) > 1:
+            others = len(cluster) - 1
+            confidence = 1 - np.sqrt(np.maximum(total[cluster] + others, 0.0) / others)
+            out.append(([ids[i] for i in cluster], confidence.tolist()))
     return out

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,9 +52,13 @@ def training_pairs(left: DataFrame, key: str, id_col: str, right: DataFrame | No
     spark = left.sparkSession
 
     def numbered(df, name):
-        rows = df.select(F.col(id_col).alias(name))
-        base = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))  # row numbers without one task for all rows
-        return spark.createDataFrame(base, f"n bigint, {name} {rows.schema[0].dataType.simpleString()}")
+        # a partition's number and the place in it, and how many rows the partitions before have: one row for each partition
+        at = F.monotonically_increasing_id()
+        rows = df.select(F.col(id_col).alias(name), F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+        counts = rows.groupBy("part").agg(F.count("*").alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select("part", before.alias("start"))
+        return rows.join(F.broadcast(starts), "part").select((F.col("start") + F.col("place")).alias("n"), name)
 
     n = left.count()
     m = right.count() if right is not None else n
@@ -68,24 +70,8 @@ def training_pairs(left: DataFrame, key: str, id_col: str, right: DataFrame | No
     return matches.orderBy(F.rand(seed)).limit(size), distinct
 
 
-def weighted_sample(weighted: DataFrame, n: int, seed: int = 0, weight: str = "weight") -> DataFrame:
-    """n rows without replacement, each draw in proportion to the weights of what is left."""
-    return weighted.withColumn("_k", F.log(F.rand(seed)) / F.col(weight)).orderBy(F.desc("_k")).limit(n).drop("_k")
-
-
-def pair_weights(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (predicate, id_a, id_b) to (id_a, id_b, weight): a pair weighs 1 over the cover's size for each predicate that makes it."""
-    del blocks
-    sizes = pairs.groupBy("predicate").agg(F.count("*").alias("n"))
-    return pairs.join(sizes, "predicate").groupBy("id_a", "id_b").agg(F.sum(1.0 / F.col("n")).alias("weight"))
-
-
 def label_pair(pair: tuple, label: str) -> dict:
     """One answer as labels: 'match', 'distinct', or 'unsure', which counts as both."""
     if label not in ("match", "distinct", "unsure"):
         raise ValueError(f"a label is match, distinct or unsure, not {label!r}")
     return {"match": [pair] if label in ("match", "unsure") else [], "distinct": [pair] if label in ("distinct", "unsure") else []}
-
-
-def n_pairs(n: int) -> int:
-    return math.comb(n, 2)

@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from concord.functions.compare import string
 from concord.functions.keys import as_text, truthy
@@ -41,10 +40,14 @@ def components(scores: DataFrame, keep: Keep, max_component: int = MAX_COMPONENT
         rest = labelled.join(large, "component")
         if rest.isEmpty():
             return done
-        low = F.min("score").over(Window.partitionBy("component"))
-        rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("score"), "id_a", "id_b"))
+        # the lowest score and the two best edges are aggregates, so that a large component is no hot spot
+        rest = rest.withColumn("order", F.struct((-F.col("score")).alias("score"), "id_a", "id_b"))
+        first = keep(rest.groupBy("component").agg(F.min("order").alias("first"), F.min("score").cast("double").alias("low")), "best")
+        after = rest.join(first, "component").filter(F.col("order") > F.col("first"))
+        second = keep(after.groupBy("component").agg(F.min("order").alias("second")), "second")
         cut = 1 / (1 + F.exp(-(F.log(F.col("low") / (1 - F.col("low"))) + 1)))
-        kept = rest.withColumn("low", low.cast("double")).withColumn("rank", rank).filter((F.col("score") >= cut) | (F.col("rank") <= 2))
+        bounds = first.join(second, "component", "left").select("component", cut.alias("cut"), F.coalesce("second", "first").alias("last"))
+        kept = rest.join(bounds, "component").filter((F.col("score") >= F.col("cut")) | (F.col("order") <= F.col("last")))
         edges = keep(kept.select("id_a", "id_b", "score"), "cut")
 
 
@@ -148,5 +151,9 @@ def canonical(records: DataFrame, clusters: DataFrame, id_col: str, fields: list
     return sums.withColumn("rank", rank).filter("rank = 1").select("cluster_id", "field", "value")
 
 
-def pair_schema(kind: T.DataType) -> str:
-    return f"id_a {kind.simpleString()}, id_b {kind.simpleString()}, score float"
+def canonical_records(records: DataFrame, clusters: DataFrame, id_col: str, fields: list[str] | None = None) -> DataFrame:
+    """(cluster_id, a text column for each field): one record that stands for each cluster; NULL where no member has a value that counts."""
+    names = fields or [c for c in records.columns if c != id_col]
+    found = canonical(records, clusters, id_col, names)
+    picked = [F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in names]
+    return clusters.select("cluster_id").distinct().join(found, "cluster_id", "left").groupBy("cluster_id").agg(*picked)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from concord.operators import labels, resolve
 from concord.operators.blocking import block_keys, pairs_between, pairs_within
-from concord.operators.predicates import Index, Simple, index_parts
+from concord.operators.predicates import Compound, Index, Simple, index_parts
 from concord.plans import rules
 from concord.plans.model import DataModel, Logistic, grid_search
 from concord.sources import models
@@ -107,7 +107,7 @@ class _Matcher:
         self._y: list[int] = []
         self._rng = random.Random(self.seed)
         self._fitted: Logistic | None = None
-        self._rules: set[int] = set()
+        self._rules: list[tuple[int, ...]] = []  # predicates by number, several for a conjunction
         # labels to start from, which don't count in the final model: a random record with itself, and a random pair
         ones, twos = ([by_id[i] for i in sorted(by_id)] for by_id in (self._by_id, self._by_id_b))
         one = self._rng.choice(ones)
@@ -127,7 +127,7 @@ class _Matcher:
         return np.array([found[p] for p in pairs], dtype=float)
 
     def _covered(self) -> np.ndarray:
-        pairs = set().union(*[self._cover[p] for p in self._rules]) if self._rules else set()
+        pairs = set().union(*[set.intersection(*[self._cover[p] for p in rule]) for rule in self._rules])
         return np.array([p in pairs for p in self._pool], dtype=bool)
 
     def uncertain_pairs(self) -> list[tuple[dict, dict]]:
@@ -188,7 +188,7 @@ class _Matcher:
         self._fitted = grid_search(x, y)
         matches = self._match_cover()
         chosen = rules.learn(list(range(len(self._predicate_list))), matches, self._cover, len(self._labels(True)["match"]))
-        self._rules = {c for c in chosen if isinstance(c, int)}
+        self._rules = [c.parts if isinstance(c, Compound) else (c,) for c in chosen]
 
     def _match_cover(self) -> dict[int, frozenset[int]]:
         """Which labelled matches each predicate would bring together, searches looking among the sample and the labelled records."""
@@ -229,8 +229,17 @@ class _Matcher:
         if not self.predicates:
             raise ValueError("no predicate covers a labelled match")
 
+    def flatten_training(self) -> tuple[list[tuple[dict, dict]], list[int]]:
+        """The labelled pairs, matches first, and 1 or 0 for each."""
+        own = self.training
+        return [*own["match"], *own["distinct"]], [1] * len(own["match"]) + [0] * len(own["distinct"])
+
     # -- scoring
 
+    def featurize(self, pairs: DataFrame, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+        """(id_a, id_b, d): the distance row of every pair, in the order of ``data_model.names``."""
+        return self.data_model.rows(pairs, left, left if right is None else right, self.id_col)
+
     def _scores(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         rows = self.data_model.rows(pairs, left, right, self.id_col)
         return rows.select("id_a", "id_b", self.model.score().alias("score")).filter("score > 0")
@@ -244,10 +253,14 @@ class Deduplicator(_Matcher):
         if training_file:
             self.read_training(training_file)
 
-    def pairs(self, records: DataFrame) -> DataFrame:
+    def blocks(self, records: DataFrame) -> DataFrame:
+        """(predicate, key, id): which records share a key of which rule."""
         self._ready()
         keep = keeper(records.sparkSession)
-        return pairs_within(keep(block_keys(records, self.predicates, self.id_col, keep), "blocks"))
+        return keep(block_keys(records, self.predicates, self.id_col, keep), "blocks")
+
+    def pairs(self, records: DataFrame) -> DataFrame:
+        return pairs_within(self.blocks(records))
 
     def score(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
         self._ready()
@@ -279,10 +292,14 @@ class RecordLink(_Matcher):
         if training_file:
             self.read_training(training_file)
 
-    def pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+    def blocks(self, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(predicate, key, id) of either side."""
         self._ready()
         keep = keeper(left.sparkSession)
-        return pairs_between(block_keys(left, self.predicates, self.id_col, keep, searched=right), block_keys(right, self.predicates, self.id_col, keep, is_target=True))
+        return block_keys(left, self.predicates, self.id_col, keep, searched=right), block_keys(right, self.predicates, self.id_col, keep, is_target=True)
+
+    def pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        return pairs_between(*self.blocks(left, right))
 
     def score(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         self._ready()
@@ -325,6 +342,10 @@ class Gazetteer(RecordLink):
         self._records = keep(records, "gazetteer")
         self._keys = keep(block_keys(self._records, self.predicates, self.id_col, keep, is_target=True), "gazetteer-keys")
 
+    def many_to_n(self, scores: DataFrame, threshold: float = 0.0, n_matches: int = 1) -> DataFrame:
+        """The n best pairs of each record that is looked up; all of them for n = 0."""
+        return resolve.top_n(scores, threshold, n_matches)
+
     def search(self, records: DataFrame, threshold: float = 0.0, n_matches: int = 1) -> DataFrame:
         """(id, matches array<struct<id, score>>) of every record, best first; empty where nothing matches."""
         self._ready()

@@ -254,6 +254,13 @@ def test_files(tmp_path):
         assert from_config(p.config()) == p
     v = V.string("x", crf=True)
     assert V.from_config(v.config()).crf and len(v.predicates) == 48
+    # fixed values: the key functions of a text, and what strings have besides
+    base = """wholeFieldPredicate firstTokenPredicate firstTwoTokensPredicate commonIntegerPredicate nearIntegersPredicate firstIntegerPredicate
+        hundredIntegerPredicate hundredIntegersOddPredicate alphaNumericPredicate sameThreeCharStartPredicate sameFiveCharStartPredicate
+        sameSevenCharStartPredicate commonTwoTokens commonThreeTokens fingerprint oneGramFingerprint twoGramFingerprint sortedAcronym""".split()
+    more = "commonFourGram commonSixGram tokenFieldPredicate suffixArray doubleMetaphone metaphoneToken".split()
+    for v, names in ((V.text("x"), base), (V.string("x"), base + more), (V.short_string("x"), base + more)):
+        assert [p.function for p in v.predicates if isinstance(p, Simple)] == names
     assert len(V.short_string("x").predicates) == 40 and len(V.text("x").predicates) == 34 and len(V.set_of("x").predicates) == 15
 
 
@@ -273,6 +280,32 @@ def test_canonical(spark):
     assert got == {"name": "mary crane", "note": "x"}
 
 
+def test_canonical_records(spark):
+    rows = [(1, "mary crane", "123 main st", "12345"), (2, "mary crane", "123 main st", None), (3, "bob", None, None)]
+    df = spark.createDataFrame(rows, "id int, name string, address string, zip string")
+    clusters = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "cluster_id int, id int")
+    got = {r["cluster_id"]: tuple(r)[1:] for r in resolve.canonical_records(df, clusters, "id").collect()}
+    assert got == {1: ("mary crane", "123 main st", "12345"), 3: ("bob", None, None)}
+
+
+def test_cuts_keep_the_two_best_edges(spark):
+    keep = keeper(spark)
+    edges = [(i, i + 1, 0.5) for i in range(6)]  # all scores alike, so the cut is above them
+    df = spark.createDataFrame(edges, "id_a int, id_b int, score float")
+    got = {(r["id_a"], r["id_b"]) for r in resolve.components(df, keep, 4).collect()}
+    assert got == {(0, 1), (1, 2)}
+
+
+def test_conjunctions_count_as_rules():
+    matcher = Deduplicator([V.exact("name")])
+    matcher._pool, matcher._cover, matcher._rules = [(1, 2), (1, 3), (2, 3)], {0: {(1, 2), (1, 3)}, 1: {(1, 3)}, 2: {(2, 3)}}, [(0, 1), (2,)]
+    assert matcher._covered().tolist() == [False, True, True]
+    matcher._rules = []
+    assert not matcher._covered().any()
+    matcher.training = {"match": [({"id": 1}, {"id": 2})], "distinct": [({"id": 1}, {"id": 3})]}
+    assert matcher.flatten_training() == ([({"id": 1}, {"id": 2}), ({"id": 1}, {"id": 3})], [1, 0])
+
+
 def test_a_large_component_is_cut(spark):
     edges = [(i, i + 1, 0.9 if i != 3 else 0.1) for i in range(7)]
     df = spark.createDataFrame(edges, "id_a int, id_b int, score float")
