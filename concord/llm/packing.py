@@ -123,7 +123,7 @@ def _packer(path: str, end_id: int, capacity: int, cut_price: float):
             return found
 
         for batch in batches:
-            for some in slices(batch, 1, 512, 1 << 20):
+            for some in slices(batch, 1, 1024, 2 << 20):
                 for doc, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1)), strict=True):
                     ids += end
                     total = len(ids) // 4

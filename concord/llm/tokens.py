@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each of the two generations of a Python worker's piece cache.
-CACHE_PIECES = 50_000
+CACHE_PIECES = 100_000
 #: Longest piece that is cached, in characters.
 CACHE_CHARS = 64
 #: Pieces encoded as one text, texts that share a search for new pieces.
@@ -130,17 +130,18 @@ class TextEncoder:
         pieces = coded.dictionary.to_pylist()
         firsts = self._one_by_one(values.take(pa.array(offsets[:-1])).to_pylist())
         new, old = self._new, self._old
+        blobs = list(map(new.get, pieces))
         missing = []
-        for piece in pieces:
-            if piece not in new:
-                if piece in old:
-                    new[piece] = old[piece]
-                else:
-                    missing.append(piece)
-        long: dict[str, bytes] = {}
-        for piece, got in zip(missing, self._pieces(missing), strict=True):
-            (new if len(piece) <= CACHE_CHARS else long)[piece] = got
-        blobs = [new[p] if p in new else long[p] for p in pieces] + firsts
+        for i in [i for i, b in enumerate(blobs) if b is None]:
+            if pieces[i] in old:
+                new[pieces[i]] = blobs[i] = old[pieces[i]]
+            else:
+                missing.append(i)
+        for i, got in zip(missing, self._pieces([pieces[i] for i in missing]), strict=True):
+            blobs[i] = got
+            if len(pieces[i]) <= CACHE_CHARS:
+                new[pieces[i]] = got
+        blobs += firsts
         if len(new) > CACHE_PIECES:
             self._old, self._new = new, {}
         codes[offsets[:-1]] = np.arange(len(pieces), len(blobs))  # no space before a text's first piece
