@@ -217,15 +217,36 @@ for _k in (1, 2, 3, 4):
     QUERIES[f"search_levenshtein_{_k}"] = lambda spark, sf_dir, k=_k: levenshtein_neighbours(_docs(spark, sf_dir, "Levenshtein"), _docs(spark, sf_dir, "Levenshtein"), k)
     ORACLES[f"search_levenshtein_{_k}"] = f"with d as ({_DOCS}) select a.doc_id as query_id, b.doc_id from d a join d b on levenshtein(a.doc, b.doc) <= {_k}"
 
-_TERMS = {"text": "string_split(doc, ' ')", "ngram": "[substr(doc, i, 2) for i in range(1, length(doc))]"}
+_SET_DOCS = "select min(p_partkey) as doc_id, string_split(p_name, ' ') || [p_brand, p_type] as doc from part group by all"
+_TERMS = {"text": "string_split(doc, ' ')", "ngram": "[substr(doc, i, 2) for i in range(1, length(doc))]", "set": "doc"}
 
 
 def _postings_sql(kind: str) -> str:
-    return f"""d as ({_DOCS}), t as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TERMS[kind]}) as term from d) group by all),
+    return f"""d as ({_SET_DOCS if kind == "set" else _DOCS}), t as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TERMS[kind]}) as term from d) group by all),
     p as (select doc_id, term, tf, cast((1 + ln(tf)) / sqrt(sum((1 + ln(tf)) * (1 + ln(tf))) over (partition by doc_id)) as float) as w from t),
     i as (select term, ln(1 + (select count(*) from d)::double / count(*)) as idf from p group by term having count(*) <= greatest(1000, 0.05 * (select count(*) from d)))"""
 
 
+def _near_sql(kind: str, threshold: float) -> str:
+    """Tables that end in near(query_id, doc_id)."""
+    return f"""{_postings_sql(kind)}, q as (select t.doc_id as query_id, t.term, t.tf as n, idf from t join i on t.term = i.term),
+    qn as (select query_id, sqrt(sum(idf * idf)) as qnorm from q group by query_id),
+    s as (select query_id, p.doc_id, cast(sum(n * idf * w::double) as float) as score from q join p on q.term = p.term group by all),
+    near as (select s.query_id, s.doc_id from s join qn on s.query_id = qn.query_id where score >= cast(qnorm * {threshold}::double as float))"""
+
+
+#: Tables that follow near(query_id, doc_id) and end in canopies(doc_id, canopy): by ascending id, a document with neighbours that no earlier centre lists is a centre.
+_CANOPIES = """other as (select distinct query_id, doc_id from near where query_id <> doc_id),
+    told as (select doc_id, list(query_id) as listed_by from other group by doc_id),
+    lists as (select query_id, row_number() over (order by query_id) as n from (select distinct query_id from other)),
+    steps as (select n, query_id, coalesce(listed_by, []) as listed_by from lists left join told on told.doc_id = query_id),
+    walk(n, centres) as (select 0::bigint, []::bigint[] union all
+      select steps.n, case when list_has_any(listed_by, centres) then centres else list_append(centres, query_id) end from walk join steps on steps.n = walk.n + 1),
+    centre as (select unnest(centres) as c from (select centres from walk order by n desc limit 1)),
+    canopies as (select c as doc_id, c as canopy from centre
+      union all select doc_id, min(query_id) from other join centre on query_id = c where doc_id not in (select c from centre) group by doc_id)"""
+
+
 @_query("tfidf_postings", f"with {_postings_sql('text')} select p.doc_id, p.term, p.tf, round(w::double, 5) as w, round(idf, 5) as idf from p join i on p.term = i.term")
 def _(spark, sf_dir):
     docs = _docs(spark, sf_dir, "TfidfText")
@@ -236,26 +257,34 @@ def _(spark, sf_dir):
 for _kind, _family in (("text", "TfidfText"), ("ngram", "TfidfNGram")):
     for _t in (0.2, 0.4, 0.6, 0.8):
         QUERIES[f"search_tfidf_{_kind}_{int(_t * 10)}"] = lambda spark, sf_dir, family=_family, t=_t: tfidf_neighbours(_docs(spark, sf_dir, family), _docs(spark, sf_dir, family), t).select("query_id", "doc_id")
-        ORACLES[f"search_tfidf_{_kind}_{int(_t * 10)}"] = f"""with {_postings_sql(_kind)}, q as (select t.doc_id as query_id, t.term, t.tf as n, idf from t join i on t.term = i.term),
-        qn as (select query_id, sqrt(sum(idf * idf)) as qnorm from q group by query_id),
-        s as (select query_id, p.doc_id, cast(sum(n * idf * w::double) as float) as score from q join p on q.term = p.term group by all)
-        select s.query_id, s.doc_id from s join qn on s.query_id = qn.query_id where score >= cast(qnorm * {_t}::double as float)"""
+        ORACLES[f"search_tfidf_{_kind}_{int(_t * 10)}"] = f"with {_near_sql(_kind, _t)} select query_id, doc_id from near"
 
 
-@_query("search_tfidf_set")
+@_query("search_tfidf_set", f"with {_near_sql('set', 0.8)} select query_id, doc_id from near")
 def _(spark, sf_dir):
     found = documents(_sets(spark, sf_dir), "tags", "TfidfSet", "id").select("doc_id", "doc").dropDuplicates(["doc_id"])
     docs = keeper(spark)(found, "docs")
     return tfidf_neighbours(docs, docs, 0.8).select("query_id", "doc_id")
 
 
-@_query("canopy_levenshtein")
+@_query(
+    "canopy_levenshtein",
+    f"""with recursive d as ({_DOCS}), near as (select a.doc_id as query_id, b.doc_id from d a join d b on levenshtein(a.doc, b.doc) <= 4),
+    {_CANOPIES} select doc_id, canopy from canopies""",
+)
 def _(spark, sf_dir):
     docs = _docs(spark, sf_dir, "Levenshtein")
     return canopies(levenshtein_neighbours(docs, docs, 4), keeper(spark))
 
 
-@_query("keys_search_index")
+_KEYED = "select {} as predicate, cast({} as varchar) as key, p_partkey as id from part join d on d.doc = p_name join"
+
+
+@_query(
+    "keys_search_index",
+    f"""select * from (with {_near_sql('text', 0.8)} {_KEYED.format(0, 'near.doc_id')} near on near.query_id = d.doc_id)
+    union all select * from (with recursive {_near_sql('ngram', 0.8)}, {_CANOPIES} {_KEYED.format(1, 'canopy')} canopies on canopies.doc_id = d.doc_id)""",
+)
 def _(spark, sf_dir):
     part = _read(spark, sf_dir, "part")
     return block_keys(part, [Index("TfidfText", "Search", 0.8, "p_name"), Index("TfidfNGram", "Canopy", 0.8, "p_name")], "p_partkey", keeper(spark))
@@ -389,7 +418,14 @@ def _(spark, sf_dir):
     return _shown(resolve.top_n(_edges(spark, sf_dir), 0.3, 3))
 
 
-@_query("match_one_to_one")
+@_query(
+    "match_one_to_one",
+    f"""with recursive o as (select *, row_number() over (order by score desc, id_a desc, id_b desc) as n from ({_EDGES}) where score > 0.3),
+    walk(n, a, b, taken) as (select 0::bigint, []::bigint[], []::bigint[], false union all
+      select n, case when free then list_append(a, id_a) else a end, case when free then list_append(b, id_b) else b end, free
+      from (select o.n, a, b, id_a, id_b, not list_contains(a, id_a) and not list_contains(b, id_b) as free from walk join o on o.n = walk.n + 1))
+    select {_SHOWN} from o join walk on o.n = walk.n where taken""",
+)
 def _(spark, sf_dir):
     return _shown(resolve.one_to_one(_edges(spark, sf_dir), keeper(spark), 0.3))
 
