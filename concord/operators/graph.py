@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], Data
 
     Each round takes the smallest label among a node's neighbours, then the
     label of its label, so long chains take a logarithmic number of rounds.
-    Neighbours' labels are aggregated before the shuffle, so a node with very
-    many edges is no hot spot.  ``keep`` stores a round's result and cuts its
+    Neighbours' labels are aggregated before the shuffle, but the join before it
+    brings all edges of a node together, and only adaptive execution splits those
+    of a node with very many.  ``keep`` stores a round's result and cuts its
     lineage (a checkpoint, or a table in a shared folder).  Edges with a null
     end and loops are left out; repeated edges do no harm.
     """
