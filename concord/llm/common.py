@@ -10,11 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.shipping import ship
 from concord.storage import shared_dir
 
 #: White space and letters that the operators treat specially: ASCII only.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Bytes from which Spark ends an Arrow batch of several rows, where the session doesn't say: each task holds a batch in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def set_up(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound the Arrow batches unless the session has a bound of its own."""
+    ship(spark)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in spark.conf.getAll:
+        spark.conf.set(bound, str(BATCH_BYTES))
 
 
 def new_path(spark: SparkSession, label: str) -> str:

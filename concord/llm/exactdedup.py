@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import new_path, partitions, stash, text_or_empty
-from concord.shipping import ship
+from concord.llm.common import new_path, partitions, set_up, stash, text_or_empty
 
 #: Digests that one filter bucket is meant to hold.
 BUCKET_KEYS = 200_000
@@ -130,7 +129,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with equal digests but different bytes stay apart.
     """
     spark = docs.sparkSession
-    ship(spark)
+    set_up(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     batch = F.coalesce(F.pmod("doc_id", F.lit(batches)), F.lit(0)).cast("int")
     digests = stash(rows.select("doc_id", batch.alias("batch"), digest(F.col("text")).alias("digest")), "digests")

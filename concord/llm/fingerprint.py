@@ -14,9 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import partitions, slices, text_or_empty
+from concord.llm.common import partitions, set_up, slices, text_or_empty
 from concord.llm.shingles import shingle_sets
-from concord.shipping import ship
 
 K, WIDTH = 128, 5
 _SPACE = float(1 << 64)
@@ -69,7 +68,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     table without rows gives none; other columns are ignored.  No shuffle.
     """
 
-    ship(docs.sparkSession)
+    set_up(docs.sparkSession)
 
     def run(batches):
         for some in (x for batch in batches for x in slices(batch, 1)):
@@ -90,7 +89,7 @@ def merge_fingerprints(prints: DataFrame, key: str, column: str = "fingerprint",
     without rows gives none; the key may have any name but ``fingerprint``.
     """
 
-    ship(prints.sparkSession)
+    set_up(prints.sparkSession)
 
     def partial(batches):
         held: dict = {}
@@ -195,7 +194,7 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     the driver holds is one number per range.
     """
     spark = docs.sparkSession
-    ship(spark)
+    set_up(spark)
     rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(_FIRST)).alias("doc"), text_or_empty(text_col).alias("text"))
     n = partitions(spark)
     points = sorted({int(x) for x in docs.select(docs[id_col].cast("bigint").alias("doc")).approxQuantile("doc", [i / n for i in range(1, n)], 0.1 / n)})

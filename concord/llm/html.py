@@ -17,9 +17,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from concord.llm.common import slices, text_or_empty
+from concord.llm.common import set_up, slices, text_or_empty
 from concord.llm.words import STOP_WORDS
-from concord.shipping import ship
 
 # Element names of HTML by their role, and words that class, id and role use for what is not the article.
 BLOCKS = frozenset(
@@ -251,7 +250,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     Null and empty pages have an empty text; repeated rows are extracted each;
     a table without rows gives none; other columns are ignored.  No shuffle.
     """
-    ship(pages.sparkSession)
+    set_up(pages.sparkSession)
     rows = pages.select(*[pages[c] for c in keep], text_or_empty(html_col).alias("_html"))
     schema = ", ".join([*[f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep], "text string"])
     n = len(keep)

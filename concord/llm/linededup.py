@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import SPACES, new_path, slices, stash, text_or_empty, tidy
-from concord.shipping import ship
+from concord.llm.common import SPACES, new_path, set_up, slices, stash, text_or_empty, tidy
 
 #: Shortest key that counts, in code points.
 LEAST_CHARS = 10
@@ -107,7 +106,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a line that repeats inside the document that owns it stays; a table without rows gives none; other columns are ignored.
     """
     spark = docs.sparkSession
-    ship(spark)
+    set_up(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     order = F.coalesce("doc_id", F.lit(_LAST))
     # rows of one document are told apart by their text, so that each is joined with its own lines only

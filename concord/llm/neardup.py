@@ -31,10 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import remove, slices, stash, stashed, text_or_empty, tidy
+from concord.llm.common import remove, set_up, slices, stash, stashed, text_or_empty, tidy
 from concord.llm.shingles import shingle_sets, signed
 from concord.operators.graph import connected_components
-from concord.shipping import ship
 
 #: Retained values of a sketch, and of the wider ones that decide which pairs across components are verified.
 K, WIDE = 64, 1024
@@ -175,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     if not 0 < percent <= 100:
         raise ValueError(f"percent is above 0 and at most 100, not {percent!r}")
-    ship(docs.sparkSession)
+    set_up(docs.sparkSession)
     if overlap is None:
         while not (overlap := sure_overlap(k, percent / 100, LOST)):
             k *= 2

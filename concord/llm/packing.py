@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from concord.llm.common import slices, text_or_empty, tidy
+from concord.llm.common import set_up, slices, text_or_empty, tidy
 from concord.llm.tokens import encoder
-from concord.shipping import ship
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -153,6 +152,6 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     a table without rows gives none; other columns are ignored.  Texts of any
     length are tokenised whole, and memory holds the open windows and one batch.
     """
-    ship(docs.sparkSession)
+    set_up(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(tidy(_packer(tokenizer, end_id, capacity, cut_price), lambda: encoder(tokenizer).forget()), PIECES)

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import slices, stash, text_or_empty, tidy
+from concord.llm.common import set_up, slices, stash, text_or_empty, tidy
 from concord.llm.words import STOP_WORDS
-from concord.shipping import ship
 
 STATISTICS = ("words", "word length", "symbols", "marks", "capitals", "digits", "repeats", "distinct", "bare", "stops", "top line")
 #: Weight of the class's diagonal and of the pooled covariance in a class covariance, and what is added to each variance.
@@ -141,7 +140,7 @@ def _class_sums(batches):
 
 def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, vector) for every row, stored so that texts are read once."""
-    ship(docs.sparkSession)
+    set_up(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return stash(rows.mapInArrow(tidy(_vectors), "doc_id bigint, vector array<double>"), "vectors")
 
@@ -170,7 +169,7 @@ def fit(vectors: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
 
 def score(vectors: DataFrame, model: Discriminant) -> DataFrame:
     """(doc_id, score) for every row."""
-    ship(vectors.sparkSession)
+    set_up(vectors.sparkSession)
 
     def run(batches):
         for batch in batches:

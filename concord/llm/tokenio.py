@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm import simple8b
-from concord.llm.common import partitions, slices, text_or_empty, tidy
+from concord.llm.common import partitions, set_up, slices, text_or_empty, tidy
 from concord.llm.tokens import encoder
-from concord.shipping import ship
 
 #: Ids from which a block is closed.
 BLOCK_IDS = 1 << 16
@@ -70,7 +69,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, id
     equal ids are ordered by their text; a table without rows gives a file
     without blocks; other columns are ignored.  One shuffle, by ranges of the id.
     """
-    ship(docs.sparkSession)
+    set_up(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.repartitionByRange(shards or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(tidy(_writer(tokenizer, end_id, block_ids), lambda: encoder(tokenizer).forget()), BLOCKS).write.option("compression", "zstd").parquet(path)
@@ -93,7 +92,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     repeated rows are documents each; a file without blocks gives no rows. A
     block is decoded by itself. A window adds up the shards' totals: as many rows as there are shards.
     """
-    ship(spark)
+    set_up(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
