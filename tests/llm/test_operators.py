@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from concord.llm import chat, exactdedup, fingerprint, linededup, mixing, neardup, packing, quality, simple8b, tokenio
+from concord.llm.common import BATCH_BYTES, set_up
 from concord.llm.html import extract_text, main_text
 from concord.llm.shingles import shingle_sets
 from concord.llm.tokens import TextEncoder
@@ -541,3 +542,24 @@ def test_pipeline_runs_over_documents(spark, tmp_path):
     for r in rows:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
+
+
+def test_arrow_batches_end_by_bytes_unless_the_session_has_a_bound(spark):
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    other = spark.newSession()
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    other.conf.set(bound, "1000000")
+    set_up(other)
+    assert other.conf.get(bound) == "1000000"
+    fresh = spark.newSession()
+    set_up(fresh)
+    assert int(fresh.conf.get(bound)) == BATCH_BYTES
+    size = BATCH_BYTES // 1000
+    rows = fresh.range(3000).select(F.repeat(F.lit("x"), size).alias("t")).coalesce(1)
+    counts = [r["n"] for r in rows.mapInArrow(count, "n bigint").collect()]
+    assert sum(counts) == 3000 and len(counts) >= 3
+    long = fresh.range(2).select(F.repeat(F.lit("x"), 2 * BATCH_BYTES).alias("t")).coalesce(1)
+    assert sum(r["n"] for r in long.mapInArrow(count, "n bigint").collect()) == 2
