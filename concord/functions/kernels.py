@@ -6,6 +6,7 @@ together, one row of the recurrence for all pairs at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -333,3 +334,78 @@ def cluster_component(ids: list, pairs: list[tuple[int, int, float]] | tuple[np.
             confidence = 1 - np.sqrt(np.maximum(total[cluster] + others, 0.0) / others)
             out.append(([ids[i] for i in cluster], confidence.tolist()))
     return out
+
+
+# -- best pairs by one number ----------------------------------------------------------------------------
+
+
+def best_later(ids: np.ndarray, values: np.ndarray, likeness: Callable[[float, float], float], threshold: float, n: int) -> tuple[list, list, list]:
+    """(id, other id, score) of, for each record, at least the n best pairs above a threshold with larger ids, by score, then larger other id.
+
+    ``likeness`` must fall, or stay, as finite values part.  By ascending id, values of which no larger id
+    is left drop out of a linked list, so that a record's nearest neighbours are steps away.
+    Of records of one value the n largest ids are enough for all.  NaN is like everything, infinity like itself, as NaN is above all scores.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    known, place = np.unique(values, return_inverse=True)
+    by_place = np.argsort(place, kind="stable")
+    stops = np.searchsorted(place[by_place], np.arange(len(known)), side="right").tolist()
+    top = [ids[by_place[max(stop - n, start) : stop]].tolist()[::-1] for start, stop in zip([0, *stops], stops, strict=False)]
+    last, whole = [x[0] for x in top], ids[-n:].tolist()[::-1]
+    finite = np.flatnonzero(np.isfinite(known)).tolist()
+    anything = top[-1] if len(known) and np.isnan(known[-1]) else []
+    known = known.tolist()
+    low, high = (finite[0], finite[-1]) if finite else (0, -1)
+    before, after = list(range(-1, len(known) - 1)), list(range(1, len(known) + 1))
+    leaving = sorted(finite, key=last.__getitem__)
+    gone, left_out = [False] * len(known), 0
+    a, b, scores = [], [], []
+
+    def add(x, others, score):
+        count = len(a)
+        for y in others:
+            if y > x:
+                a.append(x)
+                b.append(y)
+                scores.append(score)
+        return len(a) - count
+
+    for x, at in zip(ids.tolist(), place.tolist(), strict=True):
+        while left_out < len(leaving) and last[leaving[left_out]] <= x:
+            out = leaving[left_out]
+            gone[out] = True
+            p, q = before[out], after[out]
+            if p >= low:
+                after[p] = q
+            if q <= high:
+                before[q] = p
+            left_out += 1
+        value = known[at]
+        if value != value:
+            add(x, whole, math.nan)
+            continue
+        add(x, anything, math.nan)
+        if not low <= at <= high:
+            add(x, top[at], math.nan)
+            continue
+        p = q = at
+        if gone[at]:
+            p, q = before[at], after[at]
+        else:
+            q = after[at]
+        found, bar = 0, threshold
+        down = likeness(value, known[p]) if p >= low else -1.0
+        up = likeness(value, known[q]) if q <= high else -1.0
+        while (score := max(down, up)) > threshold and (found < n or score >= bar):
+            if down >= up:
+                found += add(x, top[p], score)
+                p = before[p]
+                down = likeness(value, known[p]) if p >= low else -1.0
+            else:
+                found += add(x, top[q], score)
+                q = after[q]
+                up = likeness(value, known[q]) if q <= high else -1.0
+            if found >= n and bar == threshold:
+                bar = score
+    return a, b, scores

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from concord import queries
+from concord.operators import resolve
 from concord.operators.graph import connected_components
 from concord.storage import keeper
 
@@ -56,3 +57,11 @@ def test_linking_edges_connect_what_all_edges_connect(spark, odd, copies):
 def test_components_take_few_edges(spark, copies, monkeypatch, name):
     monkeypatch.setattr(queries, "_edges", None)  # all pairs are not needed
     assert queries.QUERIES[name](spark, copies).count()
+
+
+@pytest.mark.parametrize("n", [1])
+def test_best_edges_give_the_best_of_all(spark, odd, copies, n):
+    for folder in (odd, copies):
+        some = queries._best_edges(spark, folder, 0.3, n)
+        assert rows_of(resolve.top_n(some, 0.3, n)) == rows_of(resolve.top_n(queries._edges(spark, folder), 0.3, n))
+    assert some.count() < 4 * n * 502
