@@ -66,7 +66,13 @@ def training_pairs(left: DataFrame, key: str, id_col: str, right: DataFrame | No
     pairs = drawn.join(numbered(left, "id_a").withColumnRenamed("n", "i"), "i").join(numbered(right if right is not None else left, "id_b").withColumnRenamed("n", "j"), "j").select("id_a", "id_b")
     if right is None:
         pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    distinct = pairs.join(matches, ["id_a", "id_b"], "left_anti")
+    # only the drawn pairs are looked up: all matches of a common key may be very many
+    keyed = pairs.join(left.select(F.col(id_col).alias("id_a"), F.col(key).alias("ka")), "id_a")
+    keyed = keyed.join((right if right is not None else left).select(F.col(id_col).alias("id_b"), F.col(key).alias("kb")), "id_b")
+    same = keyed.filter(F.col("ka") == F.col("kb"))
+    if right is None:
+        same = same.filter("id_a < id_b")
+    distinct = pairs.join(same.select("id_a", "id_b").distinct(), ["id_a", "id_b"], "left_anti")
     return matches.orderBy(F.rand(seed)).limit(size), distinct
 
 

@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from concord import queries
-from concord.operators import resolve
+from concord.operators import labels, resolve
 from concord.operators.graph import connected_components
 from concord.storage import keeper
 
@@ -73,3 +74,17 @@ def test_greedy_edges_hold_the_greedy_matching(spark, odd, copies):
         some = queries._greedy_edges(spark, folder, 0.3)
         assert rows_of(resolve.one_to_one(some, keep, 0.3)) == rows_of(resolve.one_to_one(queries._edges(spark, folder).distinct(), keep, 0.3))
     assert some.count() < 2 * 502
+
+
+def test_random_pairs_look_up_their_own_keys_only(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else f"k{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, key string")
+    matches, _ = labels.training_pairs(df, "key", "id", size=200)
+    every = labels.common_key_matches(df, "key", "id")
+    # stands in for more matches than can be made
+    monkeypatch.setattr(labels, "common_key_matches", lambda left, *_: left.select(F.col("id").alias("id_a"), F.raise_error(F.lit("all matches")).cast("bigint").alias("id_b")))
+    distinct = labels.training_pairs(df, "key", "id", size=200)[1]
+    drawn = {(r["id_a"], r["id_b"]) for r in distinct.collect()}
+    equal = {(r["id_a"], r["id_b"]) for r in every.collect()}
+    assert drawn and not drawn & equal and any(a % 7 == b % 7 == 0 for a, b in drawn)
+    assert {(r["id_a"], r["id_b"]) for r in matches.collect()} <= equal
