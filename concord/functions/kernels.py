@@ -224,9 +224,11 @@ class _Queue:
             self._down(place)
 
 
-def centroid_linkage(distances: np.ndarray) -> list[tuple[int, int, float, int]]:
+def centroid_linkage(distances: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
     """Merges (cluster, cluster, distance, size) by centroid linkage of a full distance matrix, which is overwritten.
 
+    ``sizes`` says how many points at distance 0 of each other a row stands for.
+
     Müllner's generic algorithm (2011): every row keeps a lower bound of the
     distance to its nearest later neighbour in a queue; a bound that turns out
     too low is raised, and the first that holds is merged.
@@ -235,7 +237,7 @@ def centroid_linkage(distances: np.ndarray) -> list[tuple[int, int, float, int]]
     if n < 2:
         return []
     d = distances
-    size = np.ones(n, dtype=np.int64)
+    size = np.ones(n, dtype=np.int64) if sizes is None else sizes.astype(np.int64)
     label = np.arange(n)
     alive = np.ones(n, dtype=bool)
     nearest = np.zeros(n, dtype=np.int64)
@@ -301,15 +303,17 @@ def flat_cut(merges: list[tuple[int, int, float, int]], n: int, most: float) ->
     return [sorted(c) for c in found]
 
 
-def cluster_component(ids: list, pairs: list[tuple[int, int, float]] | tuple[np.ndarray, ...], threshold: float) -> list[tuple[list, list[float]]]:
+def cluster_component(ids: list, pairs: list[tuple[int, int, float]] | tuple[np.ndarray, ...], threshold: float, weights: np.ndarray | None = None) -> list[tuple[list, list[float]]]:
     """Clusters of two or more and each member's confidence, of one component.
 
     ``pairs`` are (place, place, score) over the sorted ids, as a list or as a
     tuple of three arrays; an absent pair has distance 1.  A single edge is a cluster if its score is above the threshold.
+    ``weights`` says how many equal records each id stands for; one that stands for several is a cluster even alone.
     """
     n = len(ids)
+    weights = np.ones(n, dtype=np.int64) if weights is None else weights
     left, right, scores = pairs if isinstance(pairs, tuple) else map(np.array, zip(*pairs, strict=True))
-    if n == 2:
+    if n == 2 and weights.sum() == 2:
         score = float(scores[0])
         return [(list(ids), [score, score])] if score > threshold else []
     left, right = np.minimum(left, right), np.maximum(left, right)
@@ -318,7 +322,7 @@ def cluster_component(ids: list, pairs: list[tuple[int, int, float]] | tuple[np.
     edges = np.float32(1) - np.asarray(scores, dtype=np.float32)[last]
     d = np.ones((n, n))  # the only matrix; linkage overwrites it
     d[left, right] = d[right, left] = edges
-    clusters = flat_cut(centroid_linkage(d), n, 1 - threshold)
+    clusters = flat_cut(centroid_linkage(d, weights), n, 1 - threshold)
     del d
     of = np.empty(n, dtype=np.int64)
     for number, cluster in enumerate(clusters):
@@ -326,12 +330,12 @@ def cluster_component(ids: list, pairs: list[tuple[int, int, float]] | tuple[np.
     # absent pairs count 1 each; what the edges inside a cluster differ from that is added up by member
     inside = of[left] == of[right]
     gain = (edges * edges).astype(np.float64)[inside] - 1
-    total = np.bincount(left[inside], gain, n) + np.bincount(right[inside], gain, n)
+    total = np.bincount(left[inside], gain * weights[right[inside]], n) + np.bincount(right[inside], gain * weights[left[inside]], n)
     out = []
     for cluster in clusters:
-        if len(cluster) > 1:
-            others = len(cluster) - 1
-            confidence = 1 - np.sqrt(np.maximum(total[cluster] + others, 0.0) / others)
+        size = int(weights[cluster].sum())
+        if size > 1:
+            confidence = 1 - np.sqrt(np.maximum(total[cluster] + (size - weights[cluster]), 0.0) / (size - 1))
             out.append(([ids[i] for i in cluster], confidence.tolist()))
     return out
 

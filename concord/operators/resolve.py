@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -51,18 +52,28 @@ def components(scores: DataFrame, keep: Keep, max_component: int = MAX_COMPONENT
         edges = keep(kept.select("id_a", "id_b", "score"), "cut")
 
 
-def cluster(scores: DataFrame, keep: Keep, threshold: float = 0.5, max_component: int = MAX_COMPONENT) -> DataFrame:
+def cluster(scores: DataFrame, keep: Keep, threshold: float = 0.5, max_component: int = MAX_COMPONENT, copies: DataFrame | None = None) -> DataFrame:
     """(cluster_id, id, confidence) of clusters of two or more; cluster_id is the smallest id.
 
     Components of a single pair are decided in SQL; larger ones by centroid
-    linkage, one component at a time, whose size is bounded.
+    linkage, one component at a time, whose size is bounded.  ``copies`` (id, of) are records equal to the
+    record ``of``, which has a smaller id: they have no pairs of their own and are points at distance 0 of it, so
+    that they weigh in its cluster; ``max_component`` counts without them.
     """
     ship(scores.sparkSession)
     kind = scores.schema["id_a"].dataType
     edges = keep(components(scores, keep, max_component), "components")
     counts = edges.groupBy("component").agg(F.count("*").alias("n"))
     edges = edges.join(counts, "component")
-    single = edges.filter((F.col("n") == 1) & (F.col("score") > threshold))
+    alone = F.col("n") == 1
+    if copies is not None:
+        weights = copies.groupBy("of").agg((F.count("*") + 1).alias("w"))
+        for end in ("a", "b"):
+            edges = edges.join(weights.toDF(f"id_{end}", f"w_{end}"), f"id_{end}", "left").fillna(1, [f"w_{end}"])
+        alone = alone & (F.col("w_a") + F.col("w_b") == 2)
+    else:
+        edges = edges.withColumns({"w_a": F.lit(1), "w_b": F.lit(1)})
+    single = edges.filter(alone & (F.col("score") > threshold))
     pairs = single.select(F.least("id_a", "id_b").alias("cluster_id"), F.explode(F.array("id_a", "id_b")).alias("id"), F.col("score").cast("double").alias("confidence"))
     name = kind.simpleString()
 
@@ -71,14 +82,23 @@ def cluster(scores: DataFrame, keep: Keep, threshold: float = 0.5, max_component
         ids = sorted(set(pc.unique(ends[0]).to_pylist()) | set(pc.unique(ends[1]).to_pylist()))
         known = pa.array(ids, type=ends[0].type)
         left, right = (pc.index_in(x, value_set=known).to_numpy() for x in ends)
-        found = cluster_component(ids, (left, right, table["score"].to_numpy()), threshold)
+        weights = np.ones(len(ids), dtype=np.int64)
+        weights[left], weights[right] = table["w_a"].to_numpy(), table["w_b"].to_numpy()
+        found = cluster_component(ids, (left, right, table["score"].to_numpy()), threshold, weights)
         out = [(members[0], x, c) for members, confidences in found for x, c in zip(members, confidences, strict=True)]
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         own = table.schema.field("id_a").type
         return pa.table({"cluster_id": pa.array(a, type=own), "id": pa.array(b, type=own), "confidence": pa.array(c, type=pa.float64())})
 
-    many = edges.filter("n > 1").select("component", "id_a", "id_b", "score").groupBy("component").applyInArrow(run, f"cluster_id {name}, id {name}, confidence double")
-    return pairs.unionByName(many)
+    many = edges.filter(~alone).select("component", "id_a", "id_b", "score", "w_a", "w_b").groupBy("component").applyInArrow(run, f"cluster_id {name}, id {name}, confidence double")
+    found = pairs.unionByName(many)
+    if copies is None:
+        return found
+    found = keep(found, "clusters")
+    apart = weights.join(edges.select(F.explode(F.array("id_a", "id_b")).alias("of")), "of", "left_anti")
+    found = found.unionByName(apart.select(F.col("of").alias("cluster_id"), F.col("of").alias("id"), F.lit(1.0).alias("confidence")))
+    more = copies.select(F.col("id").alias("copy"), "of").join(found, F.col("of") == F.col("id"))
+    return found.unionByName(more.select("cluster_id", F.col("copy").alias("id"), "confidence"))
 
 
 def with_singletons(clusters: DataFrame, records: DataFrame, id_col: str) -> DataFrame:

@@ -88,3 +88,19 @@ def test_random_pairs_look_up_their_own_keys_only(spark, monkeypatch):
     equal = {(r["id_a"], r["id_b"]) for r in every.collect()}
     assert drawn and not drawn & equal and any(a % 7 == b % 7 == 0 for a, b in drawn)
     assert {(r["id_a"], r["id_b"]) for r in matches.collect()} <= equal
+
+
+def test_clusters_of_copies_equal_those_of_all_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    prices = [(g, 900 * rng.random()) for g in "abcdef" for _ in range(9)] + [("g", 5.0), ("h", 5.0), ("h", 700.0), ("i", 1.0), ("i", 3.0)]
+    folder = parts(spark, tmp_path, [(g, "x", p) for g, p in prices for _ in range(1 if g == "i" else rng.randrange(1, 5) + (g in "gh"))])
+    want = resolve.cluster(queries._edges(spark, folder), keeper(spark), 0.5).collect()
+    scored = []
+    edges_of = queries._edges_of
+    try:
+        queries._edges_of = lambda part: scored.append(part.count()) or edges_of(part)
+        got = queries.QUERIES["cluster_partition"](spark, folder).collect()
+    finally:
+        queries._edges_of = edges_of
+    assert {(r["cluster_id"], r["id"]): round(r["confidence"], 4) for r in got} == pytest.approx({(r["cluster_id"], r["id"]): r["confidence"] for r in want}, abs=1e-3)
+    assert len(got) == len(want) and scored == [len(prices)]
