@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from concord import queries
 from concord.operators import labels, resolve
 from concord.operators.graph import connected_components
+from concord.plans.model import DataModel
 from concord.storage import keeper
 
 ODD = [900.0, 900.0, 900.1, 950.0, 1050.0, 1300.0, 1300.0, 1500.0, math.nan, math.inf, math.inf, -math.inf, 900.000001, 900.000002, None]
@@ -104,3 +105,20 @@ def test_clusters_of_copies_equal_those_of_all_pairs(spark, tmp_path):
         queries._edges_of = edges_of
     assert {(r["cluster_id"], r["id"]): round(r["confidence"], 4) for r in got} == pytest.approx({(r["cluster_id"], r["id"]): r["confidence"] for r in want}, abs=1e-3)
     assert len(got) == len(want) and scored == [len(prices)]
+
+
+@pytest.mark.parametrize("members", [1000, 4])
+def test_distance_rows_are_computed_once_for_copies(spark, tmp_path, monkeypatch, members):
+    rng = random.Random(8)
+    prices = [(f"Brand#{rng.randrange(11, 14)}", "x", p) for p in [None, 5.0, 7.0, 9.0, math.nan] * 50]
+    folder = parts(spark, tmp_path, prices)
+    records = queries._model_records(spark, folder).distinct()
+    want = queries._model().rows(queries._part_pairs(spark, folder)[1], records, records, "id")
+    want = want.select("id_a", "id_b", F.transform("d", lambda x: F.round(x.cast("double"), 4)).alias("d"))
+    computed = []
+    rows = DataModel.rows
+    monkeypatch.setattr(queries, "_MEMBERS", members)
+    monkeypatch.setattr(DataModel, "rows", lambda self, pairs, *more: computed.append(pairs.count()) or rows(self, pairs, *more))
+    got = queries.QUERIES["dist_row"](spark, folder)
+    assert got.schema.simpleString() == want.schema.simpleString() and rows_of(got) == rows_of(want)
+    assert computed[0] < len(rows_of(want))
