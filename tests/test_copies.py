@@ -122,3 +122,21 @@ def test_distance_rows_are_computed_once_for_copies(spark, tmp_path, monkeypatch
     got = queries.QUERIES["dist_row"](spark, folder)
     assert got.schema.simpleString() == want.schema.simpleString() and rows_of(got) == rows_of(want)
     assert computed[0] < len(rows_of(want))
+
+
+def test_entities_of_many_copies(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    prices = [("Brand#11", rng.choice("xy"), p) for p in [None, 5.0, 900.0, 901.0, 2000.0] * 60]
+    folder = parts(spark, tmp_path, prices)
+    computed = []
+    rows = DataModel.rows
+    monkeypatch.setattr(DataModel, "rows", lambda self, pairs, *more: computed.append(pairs.count()) or rows(self, pairs, *more))
+    got = queries.QUERIES["entity_partition"](spark, folder)
+    part = spark.read.parquet(f"{folder}/part.parquet").filter("p_partkey is not null")
+    keyed = part.join(got, part["p_partkey"] == got["id"]).select("id", "cluster_id", "p_name", "p_type", "p_retailprice").distinct()
+    assert keyed.count() == keyed.select("id").distinct().count() == part.select("p_partkey").distinct().count()
+    # copies are in one cluster, whose number is its smallest id; names share none
+    repeated = part.groupBy("p_partkey").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("p_partkey").alias("id"))
+    assert keyed.join(repeated, "id", "left_anti").groupBy("p_name", "p_type", "p_retailprice").agg(F.countDistinct("cluster_id").alias("n")).filter("n > 1").isEmpty()
+    assert keyed.groupBy("cluster_id").agg(F.countDistinct("p_name").alias("n"), F.min("id").alias("least")).filter("n > 1 or least <> cluster_id").isEmpty()
+    assert computed[0] < 2 * math.comb(12, 2)
