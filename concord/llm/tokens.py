@@ -29,8 +29,26 @@ JOINED, TOGETHER, TOGETHER_BYTES = 100, 2048, 4 << 20
 _UNSAFE = r" (?:[\s\x0b]|\z)|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-#: A full stop or comma that ends a run of several marks.
-_MARKS = r"[^\s\x0b\pL\pN][.,][\n ]"
+#: A full stop or comma that ends a run of several marks, or follows a letter that normalises to a letter and a mark.
+_MARKS = r"(?:[^\s\x0b\pL\pN]|[\x{130}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{f69}\x{fb1d}-\x{fb4e}])[.,][\n ]"
+#: Pieces of letters that no normalisation changes in any Unicode version.
+_LETTERS = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+\z"
+
+
+def _keeps_letters(spec: dict) -> bool:
+    """Whether a word-splitting file takes a run of ``_LETTERS`` as one word, as it stands, and in bytes."""
+    normalizer = spec.get("normalizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    parts = spec["pre_tokenizer"].get("pretokenizers", [])
+    return (
+        all(x.get("type") in ("NFC", "Lowercase") or x == spaces for x in steps)
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and parts[0]["invert"]
+        and parts[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and not parts[1].get("add_prefix_space")
+        and not parts[1].get("use_regex")
+    )
 
 
 class TextEncoder:
@@ -41,7 +59,7 @@ class TextEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
@@ -56,6 +74,12 @@ class TextEncoder:
         end = spec["model"].get("end_of_word_suffix") or ""
         for token, i in self._tokenizer.get_vocab().items():
             self._lengths[i] = len(token.removesuffix(end) if end else token)
+        self._letters = None
+        if self._mode == "word" and _keeps_letters(spec):
+            self._letters = Tokenizer.from_file(path)
+            self._letters.encode_special_tokens = True
+            self._letters.normalizer = None
+            self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -66,21 +90,38 @@ class TextEncoder:
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _length(self, piece: str) -> int:
-        if self._mode == "space":
-            return 1 + (len(piece) if piece.isascii() else len(piece.encode()))
+    @staticmethod
+    def _length(piece: str) -> int:
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).lower()
         return len("".join(piece.split()).encode())
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        known = pa.array(pieces, type=pa.string())
+        sizes = pc.binary_length(known).to_numpy().astype(np.int64)
+        if self._mode == "space":
+            return self._joined(self._tokenizer, pieces, 1 + sizes)
+        easy = np.zeros(len(pieces), dtype=bool)
+        if self._letters is not None:
+            easy = pc.match_substring_regex(known, _LETTERS).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(pieces)
+        for tokenizer, own in ((self._letters, np.flatnonzero(easy)), (self._tokenizer, np.flatnonzero(~easy))):
+            some = [pieces[i] for i in own.tolist()]
+            lengths = sizes[own] if tokenizer is self._letters else np.array([self._length(p) for p in some], dtype=np.int64)
+            for i, ids in zip(own.tolist(), self._joined(tokenizer, some, lengths), strict=True):
+                out[i] = ids
+        return out
+
+    def _joined(self, tokenizer, pieces: list[str], lengths: np.ndarray) -> list[bytes]:
         lead = " " if self._mode == "space" else ""
         out: list[bytes] = []
         for k in range(0, len(pieces), JOINED):
             some = pieces[k : k + JOINED]
-            ends = np.cumsum([self._length(p) for p in some])
+            ends = np.cumsum(lengths[k : k + JOINED])
             joined = lead + " ".join(some)
-            ids = np.asarray(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             reached = np.cumsum(self._lengths[ids])
             at = np.searchsorted(reached, ends, side="left")
             if len(ids) and reached[-1] == ends[-1] and (ends == np.where(ends > 0, reached[np.minimum(at, len(ids) - 1)], 0)).all():
@@ -127,8 +168,9 @@ class TextEncoder:
         offsets = offsets - offsets[0]
         coded = values.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
-        firsts = self._one_by_one(values.take(pa.array(offsets[:-1])).to_pylist())
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        # no space before a text's first piece, which matters where words don't drop it
+        firsts = self._one_by_one(values.take(pa.array(offsets[:-1])).to_pylist()) if self._mode == "space" else []
         new, old = self._new, self._old
         blobs = list(map(new.get, pieces))
         missing = []
@@ -144,7 +186,8 @@ class TextEncoder:
         blobs += firsts
         if len(new) > CACHE_PIECES:
             self._old, self._new = new, {}
-        codes[offsets[:-1]] = np.arange(len(pieces), len(blobs))  # no space before a text's first piece
+        if firsts:
+            codes[offsets[:-1]] = np.arange(len(pieces), len(blobs))
         sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
         starts = np.cumsum(sizes) - sizes
         lengths = sizes[codes]

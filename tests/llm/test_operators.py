@@ -65,6 +65,26 @@ def test_encoder_equals_the_library(path):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_takes_words_of_letters_as_they_stand():
+    """Such words, the first ones of texts too, need no normalising; the library's ids all the same."""
+    whole = Tokenizer.from_file(WORDS)
+    whole.encode_special_tokens = True
+    rng = random.Random(7)
+    alphabet = "abcdeßéöÿxyzt"
+    plain = [" ".join("".join(rng.choices(alphabet, k=rng.randrange(1, 9))) for _ in range(30)) for _ in range(50)]
+    odd = [" ".join("".join(rng.choices(alphabet + "Éİ\u0958\ufb2cªºµŁÞ×÷'$.,7²\u00ad\u0301\u0345ΣςẞǅⅣ한\u1112\u1161\t\x0b\x1c\x85\xa0\u2028", k=rng.randrange(6))) for _ in range(30)) for _ in range(300)]
+    odd += [f"a{c}{mark} b" for c in "İ\u0958\u09df\u0a5e\u0b5c\u0f69\ufb1d\ufb4e" for mark in ".,"]
+    encoder = TextEncoder(WORDS)
+    normalised = []
+    one_by_one, joined = encoder._one_by_one, encoder._joined
+    encoder._one_by_one = lambda texts: normalised.extend(texts) or one_by_one(texts)
+    encoder._joined = lambda tokenizer, pieces, lengths: normalised.extend(pieces if tokenizer.normalizer else []) or joined(tokenizer, pieces, lengths)
+    for texts, some in ((plain, False), (odd, True), (plain + odd, True)):
+        got = encoder.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert bool(normalised) == some
+
+
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(BYTES)
     tokenizer.encode_special_tokens = True
