@@ -20,29 +20,32 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of each of the two generations of a Python worker's piece cache.
-CACHE_PIECES = 100_000
+#: Entries of each of the two generations of a Python worker's piece cache, and where pieces are words.
+CACHE_PIECES, CACHE_WORDS = 100_000, 300_000
 #: Longest piece that is cached, in characters.
 CACHE_CHARS = 64
-#: Pieces encoded as one text, texts that share a search for new pieces.
-JOINED, TOGETHER, TOGETHER_BYTES = 100, 2048, 4 << 20
+#: Pieces encoded as one text, and plain ones; texts that share a search for new pieces.
+JOINED, JOINED_PLAIN, TOGETHER, TOGETHER_BYTES = 100, 400, 2048, 4 << 20
 _UNSAFE = r" (?:[\s\x0b]|\z)|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 #: A full stop or comma that ends a run of several marks, or follows a letter that normalises to a letter and a mark.
 _MARKS = r"(?:[^\s\x0b\pL\pN]|[\x{130}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{f69}\x{fb1d}-\x{fb4e}])[.,][\n ]"
-#: Pieces of letters that no normalisation changes in any Unicode version.
-_LETTERS = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+\z"
+#: Letters that no normalisation changes in any Unicode version, and marks that are no apostrophe.
+_LETTER, _MARK = r"[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:-@\[-`{-~]"
+#: Pieces of such letters, such marks, or letters and then marks.
+_PLAIN = rf"^{_LETTER}*{_MARK}*\z"
 
 
-def _keeps_letters(spec: dict) -> bool:
-    """Whether a word-splitting file takes a run of ``_LETTERS`` as one word, as it stands, and in bytes."""
+def _keeps_plain(spec: dict) -> bool:
+    """Whether a word-splitting file takes the letters of ``_PLAIN`` as one word and its marks as another, as they stand, and in bytes."""
     normalizer = spec.get("normalizer") or {}
     steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
     spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
     parts = spec["pre_tokenizer"].get("pretokenizers", [])
     return (
         all(x.get("type") in ("NFC", "Lowercase") or x == spaces for x in steps)
+        and all(x.get("special") for x in spec.get("added_tokens") or [])
         and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
         and parts[0]["invert"]
         and parts[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
@@ -74,12 +77,12 @@ class TextEncoder:
         end = spec["model"].get("end_of_word_suffix") or ""
         for token, i in self._tokenizer.get_vocab().items():
             self._lengths[i] = len(token.removesuffix(end) if end else token)
-        self._letters = None
-        if self._mode == "word" and _keeps_letters(spec):
-            self._letters = Tokenizer.from_file(path)
-            self._letters.encode_special_tokens = True
-            self._letters.normalizer = None
-            self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._plain = None
+        if self._mode == "word" and _keeps_plain(spec):
+            self._plain = Tokenizer.from_file(path)
+            self._plain.encode_special_tokens = True
+            self._plain.normalizer = None
+            self._plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -104,32 +107,35 @@ class TextEncoder:
         if self._mode == "space":
             return self._joined(self._tokenizer, pieces, 1 + sizes)
         easy = np.zeros(len(pieces), dtype=bool)
-        if self._letters is not None:
-            easy = pc.match_substring_regex(known, _LETTERS).to_numpy(zero_copy_only=False)
+        if self._plain is not None:
+            easy = pc.match_substring_regex(known, _PLAIN).to_numpy(zero_copy_only=False)
+            known = pc.replace_substring_regex(known, rf"^({_LETTER}+)({_MARK}+)\z", r"\1 \2")
         out: list[bytes] = [b""] * len(pieces)
-        for tokenizer, own in ((self._letters, np.flatnonzero(easy)), (self._tokenizer, np.flatnonzero(~easy))):
-            some = [pieces[i] for i in own.tolist()]
-            lengths = sizes[own] if tokenizer is self._letters else np.array([self._length(p) for p in some], dtype=np.int64)
+        for tokenizer, own in ((self._plain, np.flatnonzero(easy)), (self._tokenizer, np.flatnonzero(~easy))):
+            if tokenizer is self._plain:
+                some, lengths = known.take(pa.array(own)).to_numpy(zero_copy_only=False).tolist(), sizes[own]
+            else:
+                some = [pieces[i] for i in own.tolist()]
+                lengths = np.array([self._length(p) for p in some], dtype=np.int64)
             for i, ids in zip(own.tolist(), self._joined(tokenizer, some, lengths), strict=True):
                 out[i] = ids
         return out
 
     def _joined(self, tokenizer, pieces: list[str], lengths: np.ndarray) -> list[bytes]:
         lead = " " if self._mode == "space" else ""
+        n = JOINED if tokenizer is self._tokenizer else JOINED_PLAIN
         out: list[bytes] = []
-        for k in range(0, len(pieces), JOINED):
-            some = pieces[k : k + JOINED]
-            ends = np.cumsum(lengths[k : k + JOINED])
+        for k in range(0, len(pieces), n):
+            some = pieces[k : k + n]
+            ends = np.cumsum(lengths[k : k + n])
             joined = lead + " ".join(some)
             ids = np.asarray(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             reached = np.cumsum(self._lengths[ids])
             at = np.searchsorted(reached, ends, side="left")
             if len(ids) and reached[-1] == ends[-1] and (ends == np.where(ends > 0, reached[np.minimum(at, len(ids) - 1)], 0)).all():
-                cuts = np.where(ends > 0, at + 1, 0) * 4
-                raw, before = ids.tobytes(), 0
-                for cut in cuts.tolist():
-                    out.append(raw[before:cut])
-                    before = cut
+                cuts = (np.where(ends > 0, at + 1, 0) * 4).tolist()
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
             else:
                 out += self._one_by_one([lead + p for p in some])
         return out
@@ -184,18 +190,15 @@ class TextEncoder:
             if len(pieces[i]) <= CACHE_CHARS:
                 new[pieces[i]] = got
         blobs += firsts
-        if len(new) > CACHE_PIECES:
+        if len(new) > (CACHE_WORDS if self._mode == "word" else CACHE_PIECES):
             self._old, self._new = new, {}
         if firsts:
             codes[offsets[:-1]] = np.arange(len(pieces), len(blobs))
-        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        pool = np.frombuffer(b"".join(blobs), dtype="<u4")
-        raw = pool[np.repeat(starts[codes] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-        cuts = np.concatenate([[0], ends])[offsets] * 4
-        out = [raw[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        ids = pa.array(blobs, type=pa.large_binary()).take(pa.array(codes))
+        _, ends, raw = ids.buffers()
+        cuts = np.frombuffer(ends, dtype=np.int64)[offsets + ids.offset].tolist() if len(ids) else [0] * len(offsets)
+        view = memoryview(raw or b"")
+        out = [bytes(view[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         if odd:
             for i, ids in zip(odd, self._one_by_one(texts.take(pa.array(odd)).to_pylist()), strict=True):
                 out[i] = ids

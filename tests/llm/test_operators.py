@@ -85,6 +85,28 @@ def test_encoder_takes_words_of_letters_as_they_stand():
         assert bool(normalised) == some
 
 
+def test_encoder_takes_words_with_marks_after_them_as_they_stand():
+    """A word and the marks after it are two words to the library, neither of which needs normalising."""
+    whole = Tokenizer.from_file(WORDS)
+    whole.encode_special_tokens = True
+    rng = random.Random(11)
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+    letters = "abcdeßéöÿstmd"
+    some = marks.replace(".", "").replace(",", "")  # else texts are encoded whole
+    plain = [" ".join("".join(rng.choices(letters, k=rng.randrange(7))) + "".join(rng.choices(some, k=rng.randrange(1, 4))) for _ in range(60)) for _ in range(100)]
+    plain.append("theast!! word### end.")
+    odd = [" ".join("".join(rng.choices(letters + marks + "''''É7̸́", k=rng.randrange(9))) for _ in range(60)) for _ in range(300)]
+    odd += ["", "a's! it'll? <|endoftext|> </w> x</w>!", "a≮ b≠!"]
+    encoder = TextEncoder(WORDS)
+    normalised = []
+    joined = encoder._joined
+    encoder._joined = lambda tokenizer, pieces, lengths: normalised.extend(pieces if tokenizer.normalizer else []) or joined(tokenizer, pieces, lengths)
+    for texts, more in ((plain, False), (odd, True), (plain + odd, True)):
+        got = encoder.encode(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert bool(normalised) == more
+
+
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(BYTES)
     tokenizer.encode_special_tokens = True
