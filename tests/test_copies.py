@@ -124,6 +124,26 @@ def test_distance_rows_are_computed_once_for_copies(spark, tmp_path, monkeypatch
     assert computed[0] < len(rows_of(want))
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for others."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_distance_rows_send_copies_once(spark, tmp_path):
+    rng = random.Random(10)
+    rows = [(1000 * rng.randrange(10**6) + i, "red bolt", "Brand#11", "x", 900.0 + i % 20, 7) for i in range(20 * 200)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    before = shuffled(spark)
+    got = queries.QUERIES["dist_row"](spark, str(tmp_path)).agg(F.count("*"), F.sum("id_a"), F.sum("id_b"), F.min(F.col("id_b") - F.col("id_a"))).first()
+    ids = sorted(r[0] for r in rows)
+    assert got[0] == math.comb(4000, 2) and got[1] == sum(x * (3999 - i) for i, x in enumerate(ids)) and got[2] == sum(x * i for i, x in enumerate(ids)) and got[3] > 0
+    # 368 kB where records were sent four times and ids of copies for each way round
+    assert shuffled(spark) - before < 300_000
+
+
 def test_entities_of_many_copies(spark, tmp_path, monkeypatch):
     rng = random.Random(9)
     prices = [("Brand#11", rng.choice("xy"), p) for p in [None, 5.0, 900.0, 901.0, 2000.0] * 60]
