@@ -173,3 +173,22 @@ def test_many_to_many_scores_points_and_gives_all_pairs(spark, odd, copies, monk
         got = queries.QUERIES["match_many_to_many"](spark, folder)
         assert got.schema.simpleString() == want.schema.simpleString() and rows_of(got) == rows_of(want)
     assert members < 1000 or scored[-1] == math.comb(10 + 1, 2) < want.count()
+
+
+def test_entities_block_only_parts_that_differ(spark, tmp_path, monkeypatch):
+    rows = [(7 * i, name, "Brand#11", "xy"[i % 2], 900.0 + 300 * (i % 5), 1) for i, name in enumerate(["red bolt", "old ring", "", None] * 60)]
+    rows += [(None, "red bolt", "Brand#11", "x", 900.0, 1), rows[5]]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+    block_keys = queries.block_keys
+    monkeypatch.setattr(queries, "block_keys", lambda records, *more: seen.append(records.count()) or block_keys(records, *more))
+    got = {r["id"]: (r["cluster_id"], r["confidence"]) for r in queries.QUERIES["entity_partition"](spark, str(tmp_path)).collect()}
+    assert seen == [len({r[1:] for r in rows})]
+    assert got.keys() == {r[0] for r in rows} and got[None] == (None, 1.0)
+    # a part without a name has no key, so its copies are no copies either
+    assert all(got[r[0]] == (r[0], 1.0) for r in rows if not r[1])
+    alike = {}
+    for r in rows:
+        if r[0] is not None and r[1]:
+            alike.setdefault(r[1:], set()).add(got[r[0]])
+    assert all(len(x) == 1 for x in alike.values())
